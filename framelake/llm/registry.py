@@ -6,7 +6,9 @@ import importlib
 
 #: query -> (module, function)
 OPERATORS = {
+    "op5_quality": ("quality", "op5"),
     "op7_toxicity": ("toxicity", "op7"),
+    "op9_media_columns": ("media", "op9"),
 }
 
 
