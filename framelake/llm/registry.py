@@ -7,7 +7,9 @@ import importlib
 #: query -> (module, function)
 OPERATORS = {
     "op5_quality": ("quality", "op5"),
+    "op6_chat_formatting": ("chat", "op6"),
     "op7_toxicity": ("toxicity", "op7"),
+    "op8_hilbert_sharding": ("sharding", "op8"),
     "op9_media_columns": ("media", "op9"),
 }
 
@@ -17,4 +19,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from framelake.llm import chat
+
+    return {"op6_chat_formatting": chat.SQL}
