@@ -12,9 +12,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.ship import ship
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table by name; the path is opened by Spark's reader only."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
