@@ -12,6 +12,7 @@ OPERATORS = {
     "op7_toxicity": ("toxicity", "op7"),
     "op8_hilbert_sharding": ("sharding", "op8"),
     "op9_media_columns": ("media", "op9"),
+    "op10_sentencepiece": ("sentencepieces", "op10"),
 }
 
 
