@@ -7,6 +7,7 @@ import importlib
 #: query -> (module, function)
 OPERATORS = {
     "op1_crf_language": ("crf", "op1"),
+    "op2_decontamination": ("decontaminate", "op2"),
     "op5_quality": ("quality", "op5"),
     "op6_chat_formatting": ("chat", "op6"),
     "op7_toxicity": ("toxicity", "op7"),
