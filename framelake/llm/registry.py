@@ -8,6 +8,7 @@ import importlib
 OPERATORS = {
     "op1_crf_language": ("crf", "op1"),
     "op2_decontamination": ("decontaminate", "op2"),
+    "op3_suffix_dedup": ("suffixdedup", "op3"),
     "op4_minhash_neardup": ("neardup", "op4"),
     "op5_quality": ("quality", "op5"),
     "op6_chat_formatting": ("chat", "op6"),
