@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+import importlib
+
+FLAGSHIP = "redmean_snap"
+TOPICS = ("colors",)
+
+
+def _load():
+    for topic in TOPICS:
+        importlib.import_module(f"framelake.plans.{topic}")
+    return importlib.import_module("framelake.plans.base")
 
 
 def queries() -> dict:
-    return {}
+    return dict(_load().QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_load().ORACLES)
