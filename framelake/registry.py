@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "redmean_snap"
-TOPICS = ("colors",)
+TOPICS = ("colors", "mattes")
 
 
 def _load():
