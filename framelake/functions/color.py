@@ -75,7 +75,8 @@ def euclid2(a: RGB, b: RGB) -> Column:
 
 
 def max_diff(a: RGB, b: RGB) -> Column:
-    return F.greatest(*[F.abs(x - y) for x, y in zip(a, b, strict=True)])
+    steps = [F.abs(x - y) for x, y in zip(a, b, strict=True)]
+    return F.greatest(*steps) if len(steps) > 1 else steps[0]
 
 
 def hsv(c: RGB) -> tuple[Column, Column, Column]:
