@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "redmean_snap"
-TOPICS = ("colors", "mattes", "temporals")
+TOPICS = ("colors", "mattes", "temporals", "stencils")
 
 
 def _load():
