@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-FLAGSHIP = "redmean_snap"
-TOPICS = ("colors", "mattes", "temporals", "stencils")
+FLAGSHIP = "easy_studio"
+TOPICS = ("colors", "mattes", "temporals", "stencils", "layouts", "pipelines")
 
 
 def _load():
