@@ -14,7 +14,12 @@ from framelake.sources.tables import px, table
 
 KEY = ["run_id", "frame", "y", "x"]
 RGB = ["r", "g", "b"]
-own = [F.col(c) for c in RGB]
+
+
+def cols():
+    return [F.col(c) for c in RGB]
+
+
 K = "run_id, frame, y, x"
 P3 = ("pr", "pg", "pb")
 C3 = ("r", "g", "b")
@@ -72,24 +77,24 @@ def _(s, d):
 
 @query("lab", f"WITH {PX}, {lab_cte('px', 'q')} SELECT {K}, round(L, 6) + 0.0 AS l, round(A, 6) + 0.0 AS a, round(B, 6) + 0.0 AS b FROM (SELECT {K}, L, A, B FROM (SELECT * EXCLUDE (a, b) FROM q_3) t, LATERAL (SELECT 116.0 * f2 - 16.0 AS L, 500.0 * (f1 - f2) AS A, 200.0 * (f2 - f3) AS B))")
 def _(s, d):
-    L, A, B = C.lab(own)
+    L, A, B = C.lab(cols())
     return px(s, d).select(*KEY, L.alias("l"), A.alias("a"), B.alias("b"))
 
 
 @query("lab_roundtrip", f"WITH {PX} SELECT {K}, r, g, b FROM px")
 def _(s, d):
-    rows = px(s, d).withColumns(dict(zip(("cl", "ca", "cb"), C.lab(own), strict=True)))
+    rows = px(s, d).withColumns(dict(zip(("cl", "ca", "cb"), C.lab(cols()), strict=True)))
     return rows.select(*KEY, *[F.rint(v).cast("int").alias(n) for n, v in zip(RGB, C.rgb_from_lab([F.col("cl"), F.col("ca"), F.col("cb")]), strict=True)])
 
 
 @query("luminance", f"WITH {PX} SELECT {K}, round({LUM}, 6) AS lum FROM px")
 def _(s, d):
-    return px(s, d).select(*KEY, C.luminance(own).alias("lum"))
+    return px(s, d).select(*KEY, C.luminance(cols()).alias("lum"))
 
 
 @query("redmean", f"WITH {PX} SELECT {K}, round({redmean2(C3, ('29', '43', '83'))}, 6) AS d2 FROM px")
 def _(s, d):
-    return px(s, d).select(*KEY, C.redmean2(own, [F.lit(29), F.lit(43), F.lit(83)]).alias("d2"))
+    return px(s, d).select(*KEY, C.redmean2(cols(), [F.lit(29), F.lit(43), F.lit(83)]).alias("d2"))
 
 
 HSV_SQL = f"""WITH {PX}, u AS (SELECT {K}, r / CAST(255 AS DOUBLE) AS r, g / CAST(255 AS DOUBLE) AS g, b / CAST(255 AS DOUBLE) AS b FROM px),
@@ -100,30 +105,30 @@ SELECT {K}, round(CASE WHEN ch > 1e-6 THEN h6 / 6 ELSE 0 END, 6) AS h, round(CAS
 
 @query("hsv", HSV_SQL)
 def _(s, d):
-    h, sat, v = C.hsv(own)
+    h, sat, v = C.hsv(cols())
     return px(s, d).select(*KEY, h.alias("h"), sat.alias("s"), v.alias("v"))
 
 
 @query("hsv_roundtrip", f"WITH {PX} SELECT {K}, r, g, b FROM px")
 def _(s, d):
-    rows = px(s, d).withColumns(dict(zip(("h", "s", "v"), C.hsv(own), strict=True)))
+    rows = px(s, d).withColumns(dict(zip(("h", "s", "v"), C.hsv(cols()), strict=True)))
     return rows.select(*KEY, *[F.rint(v).cast("int").alias(n) for n, v in zip(RGB, C.rgb_from_hsv([F.col("h"), F.col("s"), F.col("v")]), strict=True)])
 
 
 @query("hcl", f"WITH {PX}, q AS (SELECT {K}, {hcl()} FROM px) SELECT {K}, round(h, 6) AS h, c, round(l, 6) AS l FROM q")
 def _(s, d):
-    h, c, lum = C.hcl(own)
+    h, c, lum = C.hcl(cols())
     return px(s, d).select(*KEY, h.alias("h"), c.alias("c"), lum.alias("l"))
 
 
 @query("hex_encode", f"WITH {PX} SELECT {K}, '#' || printf('%02X%02X%02X', r, g, b) AS hex FROM px")
 def _(s, d):
-    return px(s, d).select(*KEY, C.hex_of(own).alias("hex"))
+    return px(s, d).select(*KEY, C.hex_of(cols()).alias("hex"))
 
 
 @query("hex_decode", f"SELECT palette, k, r, g, b FROM ({palette_sql()})")
 def _(s, d):
-    pal = palette(s).select("palette", "k", C.hex_of(own).alias("hex"))
+    pal = palette(s).select("palette", "k", C.hex_of(cols()).alias("hex"))
     return pal.select("palette", "k", *[v.alias(n) for n, v in zip(RGB, C.rgb_of_hex(F.col("hex")), strict=True)])
 
 
@@ -132,12 +137,12 @@ _B4 = ", ".join(str(v) for row in bayer(4) for v in row)
 
 @query("bayer_dither", f"WITH {PX}, t AS (SELECT *, (CAST([{_B4}][CAST((y % 4) * 4 + x % 4 + 1 AS INT)] AS DOUBLE) - 0.5) * 96 * 0.3 AS t FROM px) SELECT {K}, round(least(greatest(r + t, 0), 255), 6) AS r, round(least(greatest(g + t, 0), 255), 6) AS g, round(least(greatest(b + t, 0), 255), 6) AS b FROM t")
 def _(s, d):
-    return px(s, d).select(*KEY, *[v.alias(n) for n, v in zip(RGB, C.dither(own, F.col("y"), F.col("x"), bayer(4), 0.3), strict=True)])
+    return px(s, d).select(*KEY, *[v.alias(n) for n, v in zip(RGB, C.dither(cols(), F.col("y"), F.col("x"), bayer(4), 0.3), strict=True)])
 
 
 @query("circular_hue", f"WITH {PX}, q AS (SELECT {K}, {hcl()} FROM px) SELECT {K}, round(least(abs(h - 350), 360 - abs(h - 350)), 6) AS gap, round((h / 360 + (((250.0 / CAST(360 AS DOUBLE) - h / 360 + 0.5) - floor(250.0 / CAST(360 AS DOUBLE) - h / 360 + 0.5)) - 0.5) * 0.4) - floor(h / 360 + (((250.0 / CAST(360 AS DOUBLE) - h / 360 + 0.5) - floor(250.0 / CAST(360 AS DOUBLE) - h / 360 + 0.5)) - 0.5) * 0.4), 6) AS turned FROM q")
 def _(s, d):
-    h, _, _ = C.hcl(own)
+    h, _, _ = C.hcl(cols())
     return px(s, d).select(*KEY, h.alias("h")).select(*KEY, C.hue_distance(F.col("h"), F.lit(350)).alias("gap"), C.hue_lerp(F.col("h") / 360, 250.0 / 360.0, 0.4).alias("turned"))
 
 

@@ -17,7 +17,6 @@ K = "run_id, frame, y, x"
 KEY = ["run_id", "frame", "y", "x"]
 RGB = ["r", "g", "b"]
 H = W = 8
-OPAQUE = F.col("r") > 165
 HIT = "r > 165"
 
 
@@ -27,12 +26,12 @@ def _bb(by: str) -> str:
 
 @query("bbox_per_frame", f"WITH {PX} {_bb('run_id, frame')}")
 def _(s, d):
-    return L.bbox(px(s, d), OPAQUE, H, W)
+    return L.bbox(px(s, d), F.col("r") > 165, H, W)
 
 
 @query("bbox_union", f"WITH {PX} {_bb('run_id')}")
 def _(s, d):
-    return L.union_bbox(px(s, d), OPAQUE, H, W)
+    return L.union_bbox(px(s, d), F.col("r") > 165, H, W)
 
 
 _CV = "cv AS (SELECT run_id, CAST(ceil((max(x1 - x0) + 2) / CAST(4 AS DOUBLE)) * 4 AS BIGINT) AS cw, CAST(ceil((max(y1 - y0) + 2) / CAST(4 AS DOUBLE)) * 4 AS BIGINT) AS ch FROM bx GROUP BY 1)"
@@ -40,13 +39,13 @@ _CV = "cv AS (SELECT run_id, CAST(ceil((max(x1 - x0) + 2) / CAST(4 AS DOUBLE)) *
 
 @query("auto_crop_canvas", f"WITH {PX}, bx AS ({_bb('run_id, frame')}), {_CV} SELECT * FROM cv")
 def _(s, d):
-    return L.auto_canvas(L.bbox(px(s, d), OPAQUE, H, W), 1, 4)
+    return L.auto_canvas(L.bbox(px(s, d), F.col("r") > 165, H, W), 1, 4)
 
 
 @query("anchor_paste", f"WITH {PX}, bx AS ({_bb('run_id, frame')}), {_CV}, pb AS (SELECT run_id, frame, cw, ch, greatest(0, x0 - 1) AS x0, greatest(0, y0 - 1) AS y0, least(8, x1 + 1) AS x1, least(8, y1 + 1) AS y1 FROM bx JOIN cv USING (run_id)) SELECT run_id, frame, y - y0 + (ch - (y1 - y0)) AS y, x - x0 + CAST(floor((cw - (x1 - x0)) / CAST(2 AS DOUBLE)) AS BIGINT) AS x, r, g, b FROM px JOIN pb USING (run_id, frame) WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1")
 def _(s, d):
     p = px(s, d)
-    boxes = L.bbox(p, OPAQUE, H, W)
+    boxes = L.bbox(p, F.col("r") > 165, H, W)
     return L.paste(p, L.placements(boxes, L.auto_canvas(boxes, 1, 4), 1, H, W)).select(*KEY, *RGB)
 
 
@@ -60,14 +59,14 @@ def _(s, d):
 
 @query("proportional_padding", f"WITH {PX}, bx AS ({_bb('run_id')}) SELECT run_id, CAST(least(32, greatest(3, round_even(greatest(x1 - x0, y1 - y0) * 8 * CAST(0.1 AS DOUBLE), 0))) AS BIGINT) AS pad FROM bx")
 def _(s, d):
-    boxes = L.union_bbox(px(s, d), OPAQUE, H, W)
+    boxes = L.union_bbox(px(s, d), F.col("r") > 165, H, W)
     return L.proportional_padding(boxes.withColumns({c: F.col(c) * 8 for c in L.BOX}))
 
 
 @query("occupancy_audit", f"WITH {PX}, bx AS ({_bb('run_id, frame')}) SELECT frame AS run_id, round((x1 - x0) / CAST(8 AS DOUBLE), 6) AS share_w, round((y1 - y0) / CAST(8 AS DOUBLE), 6) AS share_h, CASE WHEN (x1 - x0) / CAST(8 AS DOUBLE) > 0.92 OR (y1 - y0) / CAST(8 AS DOUBLE) > 0.92 THEN 'fills' WHEN (x1 - x0) / CAST(8 AS DOUBLE) < 0.4 AND (y1 - y0) / CAST(8 AS DOUBLE) < 0.4 THEN 'tiny' ELSE 'fits' END AS verdict FROM bx WHERE run_id = 0")
 def _(s, d):
     # each frame of run 0 counts as a run
-    return L.occupancy(L.bbox(px(s, d).where("run_id = 0"), OPAQUE, H, W).withColumn("run_id", F.col("frame")), H, W)
+    return L.occupancy(L.bbox(px(s, d).where("run_id = 0"), F.col("r") > 165, H, W).withColumn("run_id", F.col("frame")), H, W)
 
 
 @query("outlier_frames", f"WITH {PX}, s AS (SELECT run_id, frame, avg(CASE WHEN r > 140 THEN 1 ELSE 0 END) AS o FROM px GROUP BY 1, 2), m AS (SELECT run_id, median(o) AS m FROM s GROUP BY 1) SELECT run_id, frame, round(o, 6) AS opaque, round(m, 6) AS typical, m < 0.45 AND o > 0.45 AND o > greatest(2 * m, m + 0.3) AS bad FROM s JOIN m USING (run_id)")

@@ -34,8 +34,8 @@ def test_palette_sizes_and_bayer():
 
 
 def test_frames_snap_to_the_grid(spark):
-    rows = spark.range(200).select(F.lit(0.1) * F.col("id"))
-    got = rows.select(*[X.snap_frames(F.col(rows.columns[0]), h).alias(h) for h in ("up", "down", "nearest")]).collect()
+    rows = spark.range(200).select((F.lit(0.1) * F.col("id")).alias("s"))
+    got = rows.select(*[X.snap_frames(F.col("s"), h).alias(h) for h in ("up", "down", "nearest")]).collect()
     assert all(v % 17 == 5 for r in got for v in r)
     assert all(r["down"] <= r["nearest"] <= r["up"] for r in got)
 
