@@ -18,9 +18,13 @@ def plain(df):
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
-def test_every_query_has_an_oracle():
-    assert set(Q) == set(O)
-    assert len(Q) > 100
+#: Not expressible in SQL; tests/test_rasters.py holds them against plain loops.
+PLAIN = {"gaussian_feather", "bilateral_flatten", "unsharp", "floyd_steinberg", "median_cut", "shared_palette", "movelock", "subject_rescue"}
+
+
+def test_every_query_has_an_oracle_or_a_plain_test():
+    assert set(Q) == set(O) | PLAIN
+    assert len(O) > 140
 
 
 @pytest.mark.parametrize("name", sorted(O))
