@@ -9,8 +9,8 @@ The law is ``rows``: row counts of the shards differ by one at most. Rows of one
 slice, checksum of the text and id, so equal texts with equal metadata stand together.
 
 Plan: counts by cell are a partial aggregate over the metadata columns, and prefix sums run over at
-most ``2 ** (bits * dims)`` cells. A cell of more than ``slice_rows`` rows is split into slices by a
-hash of the id, with prefix sums of its own, so that a cell with a third of all rows is dealt over
+most ``2 ** (bits * dims)`` cells. A cell of more than ``slice_rows`` rows (or a thousandth of all,
+if that is less) is split into slices by a hash of the id, with prefix sums of its own, so that a cell with a third of all rows is dealt over
 many tasks. Only the last ranking sorts rows, by (cell, slice). Text is read for size and checksum
 and never shuffled. No rank needs all rows in one task.
 
@@ -82,6 +82,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", tex
         hilbert_index([quantise(F.col(c), kinds[c], bits) for c in dims], bits).alias("hilbert"),
     )
     n = docs.count()
+    slice_rows = max(1, min(slice_rows, n // 1000))
     before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     cells = rows.groupBy("hilbert").agg(F.count(F.lit(1)).alias("cell_n"))
     cells = cells.select("hilbert", "cell_n", F.coalesce(F.sum("cell_n").over(before("hilbert")), F.lit(0)).alias("cell_at"))
