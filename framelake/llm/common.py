@@ -5,6 +5,7 @@ Nothing here (or in this subpackage) is imported by the rest of the library.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -15,9 +16,19 @@ from pyspark.sql import functions as F
 from framelake.ship import ship
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sends the package to the workers, and bounds Arrow batches by 8 MB instead of 64 (a value of the user's own stays)."""
+    ship(spark)
+    if spark.conf.get(BATCH_BYTES).rstrip("b") == str(64 << 20):
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table by name; the path is opened by Spark's reader only."""
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,10 +64,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with an eager, replicated-by-storage checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def few_parts(rows: int, row_bytes: int = 64) -> int:
+    """Partitions of about 32 MB for a table of so many small rows, 12 at least."""
+    return max(12, -(-rows * row_bytes // (32 << 20)))
+
+
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Cuts lineage with an eager checkpoint in the shared folder, in at most ``parts`` partitions.
+
+    Shuffle files that only the cut plan needed are then garbage of the driver; collecting it lets
+    Spark's cleaner remove them from the executors now, not at its periodic run half an hour later.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = (df.coalesce(parts) if parts else df).checkpoint(eager=True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def add_counters(parts: DataFrame) -> DataFrame:
