@@ -96,7 +96,7 @@ def _(s, d):
     return L.frame_quorum(px(s, d, alpha=True), palette(s, "ENDESGA-32").drop("palette"))
 
 
-@query("band_boundaries", f"WITH {PX}, l AS (SELECT run_id, {LUM} AS l FROM px), q AS (SELECT run_id, quantile_cont(l, [CAST(0.2 AS DOUBLE), CAST(0.7 AS DOUBLE)]) AS q FROM l GROUP BY 1) SELECT run_id, unnest([0, 1]) AS band, round(unnest(q), 6) AS bound FROM q".replace("unnest([0, 1])", "CAST(unnest([0, 1]) AS BIGINT)"))
+@query("band_boundaries", f"WITH {PX}, l AS (SELECT run_id, {LUM} AS l FROM px), q AS (SELECT run_id, quantile_cont(l, [CAST(0.2 AS DOUBLE), CAST(0.7 AS DOUBLE)]) AS q FROM l GROUP BY 1) SELECT run_id, CAST(unnest([0, 1]) AS BIGINT) AS band, round(unnest(q), 6) AS bound FROM q")
 def _(s, d):
     return L.band_boundaries(px(s, d), [2.0, 5.0, 3.0])
 
@@ -116,7 +116,7 @@ def _(s, d):
 
 
 @query("asof_resample", """WITH b AS (SELECT user_id AS key, CAST(epoch_us(ts) AS BIGINT) // 1000000 AS t, event_id, value FROM events), r AS (SELECT CAST(min(t) // 21600 * 21600 AS BIGINT) AS lo, CAST(max(t) AS BIGINT) AS hi FROM b),
-tk AS (SELECT key, unnest(range(lo, hi + 1, 21600)) AS t FROM (SELECT DISTINCT key FROM b), r), u AS (SELECT key, t, value, event_id FROM b QUALIFY row_number() OVER (PARTITION BY key, t ORDER BY event_id DESC) = 1) SELECT tk.key, tk.t AS tick, round(u.value, 6) AS value FROM tk LEFT JOIN LATERAL (SELECT value FROM u WHERE u.key = tk.key AND u.t <= tk.t ORDER BY u.t DESC LIMIT 1) u ON true""".replace("FROM tk LEFT JOIN LATERAL (SELECT value FROM u WHERE u.key = tk.key AND u.t <= tk.t ORDER BY u.t DESC LIMIT 1) u ON true", "FROM tk ASOF LEFT JOIN u ON tk.key = u.key AND tk.t >= u.t"))
+tk AS (SELECT key, unnest(range(lo, hi + 1, 21600)) AS t FROM (SELECT DISTINCT key FROM b), r), u AS (SELECT key, t, value, event_id FROM b QUALIFY row_number() OVER (PARTITION BY key, t ORDER BY event_id DESC) = 1) SELECT tk.key, tk.t AS tick, round(u.value, 6) AS value FROM tk ASOF LEFT JOIN u ON tk.key = u.key AND tk.t >= u.t""")
 def _(s, d):
     t = F.unix_seconds(F.col("ts").cast("timestamp"))
     rows = table(s, d, "events").select(F.col("user_id").alias("key"), t.alias("tick"), F.col("event_id").alias("_o"), "value")
@@ -194,7 +194,7 @@ def _(s, d):
     return TL.line_points(lines).select("id", "x", "y")
 
 
-@query("zoom_snap", "SELECT s_suppkey AS id, CASE WHEN z >= 1 THEN CASE WHEN greatest(1, floor(z)) > 3.5 THEN 3 ELSE greatest(1, floor(z)) END ELSE 1 / CASE WHEN 1 / greatest(1, floor(1 / z + 0.5)) > 3.5 THEN greatest(1, ceil(1 / z)) ELSE greatest(1, floor(1 / z + 0.5)) END END AS zoom FROM (SELECT s_suppkey, (s_suppkey % 97 + 1) / CAST(16 AS DOUBLE) AS z FROM supplier)".replace("CASE WHEN z >= 1", "round(CASE WHEN z >= 1", 1).replace("END END AS zoom", "END END, 6) AS zoom"))
+@query("zoom_snap", "SELECT s_suppkey AS id, round(CASE WHEN z >= 1 THEN CASE WHEN greatest(1, floor(z)) > 3.5 THEN 3 ELSE greatest(1, floor(z)) END ELSE 1 / CASE WHEN 1 / greatest(1, floor(1 / z + 0.5)) > 3.5 THEN greatest(1, ceil(1 / z)) ELSE greatest(1, floor(1 / z + 0.5)) END END, 6) AS zoom FROM (SELECT s_suppkey, (s_suppkey % 97 + 1) / CAST(16 AS DOUBLE) AS z FROM supplier)")
 def _(s, d):
     return table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), TL.zoom_snap((F.col("s_suppkey") % 97 + 1) / 16.0, 3.5).alias("zoom"))
 

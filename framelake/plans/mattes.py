@@ -18,11 +18,11 @@ RGB = ["r", "g", "b"]
 RING = "ring AS (SELECT * FROM px WHERE y < 2 UNION ALL SELECT * FROM px WHERE y >= 6 UNION ALL SELECT * FROM px WHERE x < 2 UNION ALL SELECT * FROM px WHERE x >= 6)"
 
 
-@query("border_keys", f"""WITH RECURSIVE {PX}, {RING}, h AS (SELECT run_id, r // 64 AS qr, g // 64 AS qg, b // 64 AS qb, count(*) AS n, median(r) AS mr, median(g) AS mg, median(b) AS mb FROM (SELECT run_id, (r // 64) * 16 AS r0, r, g, b FROM ring) GROUP BY ALL),
+@query("border_keys", f"""WITH RECURSIVE {PX}, {RING}, h AS (SELECT run_id, r // 64 AS qr, g // 64 AS qg, b // 64 AS qb, count(*) AS n, median(r) AS mr, median(g) AS mg, median(b) AS mb FROM ring GROUP BY ALL),
 t AS (SELECT *, sum(n) OVER (PARTITION BY run_id) AS tot FROM h), o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n DESC, qr, qg, qb) AS i FROM t WHERE n >= CAST(0.08 AS DOUBLE) * tot),
 f AS (SELECT run_id, i, [{{'r': mr, 'g': mg, 'b': mb, 'n': n}}] AS kept FROM o WHERE i = 1 UNION ALL SELECT f.run_id, o.i, CASE WHEN len(kept) >= 3 OR list_min(list_transform(kept, lambda k: sqrt(power(k.r - o.mr, 2) + power(k.g - o.mg, 2) + power(k.b - o.mb, 2)))) < 32 THEN kept ELSE list_append(kept, {{'r': o.mr, 'g': o.mg, 'b': o.mb, 'n': o.n}}) END FROM f JOIN o ON o.run_id = f.run_id AND o.i = f.i + 1),
 l AS (SELECT run_id, max(i) AS i FROM f GROUP BY 1), u AS (SELECT run_id, unnest(kept) AS k, generate_subscripts(kept, 1) - 1 AS rank FROM f JOIN l USING (run_id, i))
-SELECT run_id, rank, k.r AS r, k.g AS g, k.b AS b, k.n AS n FROM u""".replace("FROM (SELECT run_id, (r // 64) * 16 AS r0, r, g, b FROM ring)", "FROM ring"))
+SELECT run_id, rank, k.r AS r, k.g AS g, k.b AS b, k.n AS n FROM u""")
 def _(s, d):
     # the frames are noise, so steps of 64 stand in for those of 16: colours are quartered for the buckets
     coarse = px(s, d)
@@ -67,7 +67,7 @@ def _(s, d):
     return M.despill(px(s, d, alpha=True), "g", F.col("a") > 0.5).select(*KEY, *RGB)
 
 
-@query("green_sweep", f"WITH {PX}, k AS (SELECT max(CASE WHEN g > r + 25 AND g > b + 25 THEN 1 ELSE 0 END) AS known FROM ({palette_sql('1-BIT')})) SELECT {K}, CASE WHEN a > 0.5 AND g > r + 25 AND g > b + 25 AND known = 0 THEN 0.0 ELSE a END AS a FROM px CROSS JOIN k".replace("THEN 0.0 ELSE a END AS a", "THEN CAST(0 AS DOUBLE) ELSE CAST(a AS DOUBLE) END AS a"))
+@query("green_sweep", f"WITH {PX}, k AS (SELECT max(CASE WHEN g > r + 25 AND g > b + 25 THEN 1 ELSE 0 END) AS known FROM ({palette_sql('1-BIT')})) SELECT {K}, CASE WHEN a > 0.5 AND g > r + 25 AND g > b + 25 AND known = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(a AS DOUBLE) END AS a FROM px CROSS JOIN k")
 def _(s, d):
     return M.green_sweep(px(s, d, alpha=True), palette(s, "1-BIT")).select(*KEY, "a")
 
@@ -131,7 +131,6 @@ def _(s, d):
     return G.block_modal(px(s, d).withColumns({c: F.floor(F.col(c) / 64) for c in RGB}), 4, 8, 8)
 
 
-_CAND = "cand AS (SELECT s, ox, oy FROM (SELECT unnest([2]) AS s), (SELECT unnest(range(2)) AS ox), (SELECT unnest(range(2)) AS oy) WHERE (8 - oy) // s >= 4 AND (8 - ox) // s >= 4)"
 _SCORE = f"WITH {PX}, l AS (SELECT run_id, frame, y, x, {LUM} AS v FROM px), cand AS (SELECT s, ox, oy FROM (SELECT unnest([1, 2]) AS s), (SELECT unnest(range(2)) AS ox), (SELECT unnest(range(2)) AS oy) WHERE ox < s AND oy < s AND (8 - oy) // s >= 3 AND (8 - ox) // s >= 3), c AS (SELECT run_id, frame, s, ox, oy, var_pop(v) AS wi, avg(v) AS m FROM l CROSS JOIN cand WHERE y >= oy AND x >= ox AND y - oy < s * ((8 - oy) // s) AND x - ox < s * ((8 - ox) // s) GROUP BY run_id, frame, s, ox, oy, (y - oy) // s, (x - ox) // s), t AS (SELECT run_id, frame, s, ox, oy, avg(wi) AS wi, var_pop(m) AS be FROM c GROUP BY ALL), z AS (SELECT run_id, frame, s, ox, oy, be / (wi + be + 1e-6) AS score FROM t)"
 
 

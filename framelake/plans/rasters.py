@@ -38,7 +38,7 @@ def _(s, d):
     return R.area_resize(px(s, d), H, W, 3, 3)
 
 
-@query("pad_canvas", f"WITH {PX}, c AS (SELECT DISTINCT run_id, frame, y, x FROM px, (SELECT unnest(range(12)) AS y), (SELECT unnest(range(12)) AS x))".replace(f"WITH {PX}, c AS (SELECT DISTINCT run_id, frame, y, x FROM px, (SELECT unnest(range(12)) AS y), (SELECT unnest(range(12)) AS x))", f"WITH {PX}, f AS (SELECT DISTINCT run_id, frame FROM px), c AS (SELECT run_id, frame, y, x FROM f, (SELECT unnest(range(12)) AS y), (SELECT unnest(range(12)) AS x))") + " SELECT c.run_id, c.frame, c.y, c.x, coalesce(r, 1) AS r, coalesce(g, 2) AS g, coalesce(b, 3) AS b FROM c LEFT JOIN px ON px.run_id = c.run_id AND px.frame = c.frame AND px.y = c.y - 2 AND px.x = c.x - 2")
+@query("pad_canvas", f"WITH {PX}, f AS (SELECT DISTINCT run_id, frame FROM px), c AS (SELECT run_id, frame, y, x FROM f, (SELECT unnest(range(12)) AS y), (SELECT unnest(range(12)) AS x)) SELECT c.run_id, c.frame, c.y, c.x, coalesce(r, 1) AS r, coalesce(g, 2) AS g, coalesce(b, 3) AS b FROM c LEFT JOIN px ON px.run_id = c.run_id AND px.frame = c.frame AND px.y = c.y - 2 AND px.x = c.x - 2")
 def _(s, d):
     return R.pad_to(px(s, d), H, W, 12, (1, 2, 3))
 

@@ -40,13 +40,13 @@ def _near(src: str, name: str, cols: str, pad: str = "edge", where: str = "") ->
     return f"{name} AS (SELECT p.*, dy, dx, {q} FROM {src} p CROSS JOIN o JOIN {src} q ON q.run_id = p.run_id AND q.frame = p.frame AND {on}{where})"
 
 
-@query("despeckle", f"""WITH {PX}, p8 AS (SELECT k, r AS pr, g AS pg, b AS pb FROM ({palette_sql('CGA-16')})), {lab_cte('p8', 'e', 'pr', 'pg', 'pb', 'k')}, {_CLASS.replace('r // 86 * 4', '(r // 86) * 4')}, {_off(3, False)}, {_near('c', 'n', 'k')},
+@query("despeckle", f"""WITH {PX}, p8 AS (SELECT k, r AS pr, g AS pg, b AS pb FROM ({palette_sql('CGA-16')})), {lab_cte('p8', 'e', 'pr', 'pg', 'pb', 'k')}, {_CLASS}, {_off(3, False)}, {_near('c', 'n', 'k')},
 v AS (SELECT {K}, any_value(k) AS own, q_k, count(*) AS n, min((dy + 1) * 3 + dx + 1) AS at_ FROM n GROUP BY {K}, q_k), w AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY n DESC, at_) AS o, bool_or(q_k = own) OVER (PARTITION BY {K}) AS has FROM v)
 SELECT {K}, CASE WHEN NOT has AND sqrt(power(a1.L - a2.L, 2) + power(a1.A - a2.A, 2) + power(a1.B - a2.B, 2)) <= 60 THEN q_k ELSE own END AS k FROM w JOIN e a1 ON a1.k = own JOIN e a2 ON a2.k = q_k WHERE o = 1""")
 def _(s, d):
     pal8 = P.as_array(palette(s, "CGA-16").drop("palette"))
     lab = F.transform(pal8, lambda e: F.struct(*[v.alias(n) for n, v in zip("lab", C.lab([e[c] for c in RGB]), strict=True)]))
-    return S.despeckle(_classes(s, d).withColumn("_lab", F.lit(0)).drop("_lab"), "k", lab, H, W, 60.0)
+    return S.despeckle(_classes(s, d), "k", lab, H, W, 60.0)
 
 
 @query("region_vote", f"""WITH {PX}, {_CLASS}, {_off(3)}, {_near('c', 'n', 'k, a')}, v AS (SELECT {K}, q_k, count(*) AS n FROM n WHERE q_a > 0.5 GROUP BY {K}, q_k), w AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY n DESC, q_k) AS o FROM v)
@@ -152,7 +152,7 @@ col AS (SELECT run_id, frame, label, any_value(mn) AS mn, median(r) AS mr, media
 body AS (SELECT {K}, r AS br, g AS bg, b AS bb FROM j JOIN px USING ({K}) WHERE label = ml), {lab_cte('body', 'bl', 'br', 'bg', 'bb')},
 al AS (SELECT cl.run_id, cl.frame, cl.label, any_value(cl.mn) AS mn, sum(CASE WHEN sqrt(power(cl.L - bl.L, 2) + power(cl.A - bl.A, 2) + power(cl.B - bl.B, 2)) < 18 THEN 1 ELSE 0 END) AS n FROM cl JOIN bl USING (run_id, frame) GROUP BY cl.run_id, cl.frame, cl.label),
 kp AS (SELECT run_id, frame, label FROM j WHERE big UNION SELECT run_id, frame, label FROM al WHERE n >= greatest(1, floor(mn * CAST(0.001 AS DOUBLE))))
-SELECT {K}, kp.label IS NOT NULL AS kept FROM px LEFT JOIN (cc JOIN kp USING (run_id, frame, label)) USING ({K})""".replace("SELECT {K}, kp.label IS NOT NULL AS kept FROM px LEFT JOIN (cc JOIN kp USING (run_id, frame, label)) USING", "SELECT {K}, label IS NOT NULL AS kept FROM px LEFT JOIN (cc JOIN kp USING (run_id, frame, label)) USING").replace("SELECT run_id, frame, y, x, kp.label IS NOT NULL", "SELECT run_id, frame, y, x, label IS NOT NULL"))
+SELECT {K}, label IS NOT NULL AS kept FROM px LEFT JOIN (cc JOIN kp USING (run_id, frame, label)) USING ({K})""")
 def _(s, d):
     return G.drop_detached(px(s, d).withColumn("f", F.col("r") > 150), "f", 50.0, H, W, least=1).select(*KEY, "kept")
 

@@ -46,7 +46,7 @@ def _(s, d):
     return T.guarded_vote(rows, "voted", "f", "t", "s").select(*KEY, "keyed")
 
 
-@query("frame_motion", f"WITH {PX} SELECT {K}, greatest(abs(r - lag(r) OVER w), abs(g - lag(g) OVER w), abs(b - lag(b) OVER w)) AS motion FROM px QUALIFY lag(r) OVER w IS NOT NULL {W}".replace(f" QUALIFY lag(r) OVER w IS NOT NULL {W}", f" {W} QUALIFY lag(r) OVER w IS NOT NULL"))
+@query("frame_motion", f"WITH {PX} SELECT {K}, greatest(abs(r - lag(r) OVER w), abs(g - lag(g) OVER w), abs(b - lag(b) OVER w)) AS motion FROM px {W} QUALIFY lag(r) OVER w IS NOT NULL")
 def _(s, d):
     return T.motion(px(s, d)).where("motion IS NOT NULL").select(*KEY, "motion")
 
@@ -156,7 +156,7 @@ def _(s, d):
     return T.keep_changes(series(s, d), "value", 150.0, ["key"], "pos")
 
 
-@query("durations", f"{_DEDUP} SELECT key, count(*) AS kept, sum(duration) AS total, CAST(max(greatest(1, round_even(1000 * duration / CAST(12 AS DOUBLE), 0))) AS BIGINT) AS longest_ms FROM o GROUP BY 1".replace("sum(duration)", "CAST(sum(duration) AS BIGINT)"))
+@query("durations", f"{_DEDUP} SELECT key, count(*) AS kept, CAST(sum(duration) AS BIGINT) AS total, CAST(max(greatest(1, round_even(1000 * duration / CAST(12 AS DOUBLE), 0))) AS BIGINT) AS longest_ms FROM o GROUP BY 1")
 def _(s, d):
     rows = T.keep_changes(series(s, d), "value", 150.0, ["key"], "pos")
     ms = F.greatest(F.lit(1), F.rint(1000 * F.col("duration") / 12.0).cast("int"))
