@@ -6,8 +6,6 @@ as an array literal; the pixel table is never shuffled for a nearest-colour join
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,28 +16,32 @@ RGB = ("r", "g", "b")
 MOST = 4096
 
 
-def as_array(palette: DataFrame) -> Column:
+def as_array(palette: DataFrame, cols: tuple[str, ...] = RGB) -> Column:
     """The palette as an array literal of structs, in the order of k. Its size is checked: at most 4096 entries."""
-    rows = palette.select("k", *RGB).orderBy("k").limit(MOST + 1).collect()
+    rows = palette.select("k", *cols).orderBy("k").limit(MOST + 1).collect()
     if len(rows) > MOST:
         raise ValueError(f"a palette of more than {MOST} entries")
-    return F.array(*[F.struct(*[F.lit(x[n]).alias(n) for n in ("k", *RGB)]) for x in rows])
+    return F.array(*[F.struct(*[F.lit(x[n]).alias(n) for n in ("k", *cols)]) for x in rows])
+
+
+def in_lab(palette: DataFrame) -> DataFrame:
+    """(k, r, g, b) with the CIELAB coordinates in place of the channels, worked out once an entry."""
+    return palette.select("k", *[v.alias(n) for n, v in zip(RGB, C.lab([F.col(c) for c in RGB]), strict=True)])
 
 
 def _cols(x: Column) -> list[Column]:
     return [x[n] for n in RGB]
 
 
-def with_nearest(px: DataFrame, palette: DataFrame, metric: str = "rgb", out: str = "k", keep: Callable[[Column], Column] | None = None) -> DataFrame:
+def with_nearest(px: DataFrame, palette: DataFrame, metric: str = "rgb", out: str = "k") -> DataFrame:
     """Adds the index of the nearest entry (the first of equally near ones) and its squared distance ``out``_d2.
 
     metric: rgb, lab or redmean. The palette is folded inside the row: no join and no shuffle.
     """
-    pal = as_array(palette)
+    pal = as_array(in_lab(palette) if metric == "lab" else palette)
     own = [F.col(n) for n in RGB]
     if metric == "lab":
         px = px.withColumns(dict(zip(("_L", "_A", "_B"), C.lab(own), strict=True)))
-        pal = F.transform(pal, lambda e: F.struct(e["k"].alias("k"), *[v.alias(n) for n, v in zip(RGB, C.lab(_cols(e)), strict=True)]))
         own = [F.col(n) for n in ("_L", "_A", "_B")]
     dist = C.redmean2 if metric == "redmean" else C.euclid2
     best = F.array_min(F.transform(pal, lambda e: F.struct(dist(own, _cols(e)).alias("d"), e["k"].alias("k"))))
@@ -63,10 +65,8 @@ def with_ramp_class(px: DataFrame, palette: DataFrame, chroma: float = 25.0, win
     degrees (or the nearest in hue); light, slightly tinted ones the lightest of that family; grey
     ones the grey of nearest luminance; where a kind is missing, the redmean nearest.
     """
-    pal = F.transform(
-        as_array(palette),
-        lambda e: F.struct(e["k"].alias("k"), *[e[n].alias(n) for n in RGB], *[v.alias(n) for n, v in zip(("h", "c", "l"), C.hcl(_cols(e)), strict=True)]),
-    )
+    hcl = dict(zip(("h", "c", "l"), C.hcl([F.col(n) for n in RGB]), strict=True))
+    pal = as_array(palette.withColumns(hcl), (*RGB, "h", "c", "l"))
     own = [F.col(n) for n in RGB]
     px = px.withColumns(dict(zip(("_h", "_c", "_l"), C.hcl(own), strict=True)) | {"_pal": pal})
     h, c, lum = F.col("_h"), F.col("_c"), F.col("_l")

@@ -63,7 +63,7 @@ def despeckle(px: DataFrame, index: str, palette_lab: Column | None, height: int
     """One pass: a pixel that shares its colour with none of its 8 neighbours takes the most frequent neighbour, if near enough.
 
     Of equally frequent neighbours the first in reading order wins. ``palette_lab``: an array of
-    (L, a, b) structs by index, for the colour gate; without it there is none.
+    structs of CIELAB coordinates (named r, g, b) by index, for the colour gate; without it there is none.
     """
     rows = neighbours(px, square(3), height, width, "edge", [index])
     centre = (F.col("dy") == 0) & (F.col("dx") == 0)
@@ -74,7 +74,7 @@ def despeckle(px: DataFrame, index: str, palette_lab: Column | None, height: int
     alone = ~F.array_contains("seen", F.col("own"))
     if palette_lab is not None:
         lab = lambda k: F.element_at(palette_lab, k.cast("int") + 1)
-        gap = lambda p, q: F.sqrt(C.euclid2([p["l"], p["a"], p["b"]], [q["l"], q["a"], q["b"]]))
+        gap = lambda p, q: F.sqrt(C.euclid2([p[c] for c in RGB], [q[c] for c in RGB]))
         alone = alone & (gap(lab(F.col("own")), lab(F.col("b.v"))) <= most)
     return out.select(*FRAME, "y", "x", F.when(alone, F.col("b.v")).otherwise(F.col("own")).alias(index))
 

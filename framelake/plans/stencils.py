@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framelake.functions import color as C
 from framelake.operators import graph as G
 from framelake.operators import palette as P
 from framelake.operators import stencil as S
@@ -44,8 +43,7 @@ def _near(src: str, name: str, cols: str, pad: str = "edge", where: str = "") ->
 v AS (SELECT {K}, any_value(k) AS own, q_k, count(*) AS n, min((dy + 1) * 3 + dx + 1) AS at_ FROM n GROUP BY {K}, q_k), w AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY n DESC, at_) AS o, bool_or(q_k = own) OVER (PARTITION BY {K}) AS has FROM v)
 SELECT {K}, CASE WHEN NOT has AND sqrt(power(a1.L - a2.L, 2) + power(a1.A - a2.A, 2) + power(a1.B - a2.B, 2)) <= 60 THEN q_k ELSE own END AS k FROM w JOIN e a1 ON a1.k = own JOIN e a2 ON a2.k = q_k WHERE o = 1""")
 def _(s, d):
-    pal8 = P.as_array(palette(s, "CGA-16").drop("palette"))
-    lab = F.transform(pal8, lambda e: F.struct(*[v.alias(n) for n, v in zip("lab", C.lab([e[c] for c in RGB]), strict=True)]))
+    lab = P.as_array(P.in_lab(palette(s, "CGA-16").drop("palette")))
     return S.despeckle(_classes(s, d), "k", lab, H, W, 60.0)
 
 
