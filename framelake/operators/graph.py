@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from framelake.functions import color as C
-from framelake.operators.stencil import FRAME, RGB, morph, square
+from framelake.operators.stencil import FRAME, RGB, square
 
 PIXEL = [*FRAME, "y", "x"]
 
@@ -33,17 +34,35 @@ def label_frame(mask: np.ndarray, eight: bool) -> np.ndarray:
         lab = new
 
 
+def _grow(mask: np.ndarray, steps: int) -> np.ndarray:
+    """8-connected dilation."""
+    for _ in range(steps):
+        pad = np.pad(mask, 1)
+        mask = np.logical_or.reduce([pad[1 + dy : pad.shape[0] - 1 + dy, 1 + dx : pad.shape[1] - 1 + dx] for dy, dx in square(3)])
+    return mask
+
+
 def components(px: DataFrame, flag: str, height: int, width: int, eight: bool = True) -> DataFrame:
-    """(run, frame, y, x, label) of the flagged pixels; label is y * width + x of the component's first pixel in reading order."""
+    """(run, frame, y, x, label, size, main, near) of the flagged pixels.
+
+    label is y * width + x of the component's first pixel in reading order; main marks the largest
+    component (of equals the first in reading order), near what lies within two pixels of it.
+    """
     src = px.where(F.col(flag)).select(*[F.col(c).cast("long").alias(c) for c in PIXEL])
 
     def run(table: pa.Table) -> pa.Table:
         y, x = table["y"].to_numpy(), table["x"].to_numpy()
         mask = np.zeros((height, width), bool)
         mask[y, x] = True
-        return table.append_column("label", pa.array(label_frame(mask, eight)[y, x]))
+        lab = label_frame(mask, eight)
+        size = np.bincount(lab[mask], minlength=1)
+        main = lab == int(size.argmax())
+        cols = (lab, np.where(mask, size[lab], 0), main, _grow(main, 2))
+        for name, c in zip(("label", "size", "main", "near"), cols, strict=True):
+            table = table.append_column(name, pa.array(c[y, x]))
+        return table
 
-    return src.groupBy(*FRAME).applyInArrow(run, "run_id long, frame long, y long, x long, label long")
+    return src.groupBy(*FRAME).applyInArrow(run, "run_id long, frame long, y long, x long, label long, size long, main boolean, near boolean")
 
 
 def border_flood(px: DataFrame, flag: str, height: int, width: int, eight: bool = True, out: str = "bg") -> DataFrame:
@@ -65,27 +84,18 @@ def interior_gaps(px: DataFrame, flag: str, tight: str, most_area: int, height:
     return px.join(hit, PIXEL, "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
-def component_sizes(lab: DataFrame) -> DataFrame:
-    """(run, frame, label, size, rank): rank 1 is the largest; of equals the first in reading order."""
-    from pyspark.sql.window import Window
-
-    size = lab.groupBy(*FRAME, "label").agg(F.count(F.lit(1)).alias("size"))
-    return size.withColumn("rank", F.row_number().over(Window.partitionBy(*FRAME).orderBy(F.desc("size"), "label")))
+def _marked(px: DataFrame, hit: DataFrame, out: str) -> DataFrame:
+    """Adds whether a pixel is among the hits."""
+    return px.join(hit.select(*PIXEL, F.lit(True).alias(out)), PIXEL, "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def largest_island(px: DataFrame, flag: str, height: int, width: int, eight: bool = False, out: str = "kept") -> DataFrame:
-    lab = components(px, flag, height, width, eight)
-    main = component_sizes(lab).where("rank = 1").select(*FRAME, "label")
-    hit = lab.join(main, [*FRAME, "label"], "left_semi").select(*PIXEL, F.lit(True).alias(out))
-    return px.join(hit, PIXEL, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    return _marked(px, components(px, flag, height, width, eight).where("main"), out)
 
 
 def drop_small(px: DataFrame, flag: str, least: int, height: int, width: int, out: str = "kept") -> DataFrame:
     """Keeps the 4-connected components of at least ``least`` pixels."""
-    lab = components(px, flag, height, width, False)
-    big = component_sizes(lab).where(F.col("size") >= least).select(*FRAME, "label")
-    hit = lab.join(big, [*FRAME, "label"], "left_semi").select(*PIXEL, F.lit(True).alias(out))
-    return px.join(hit, PIXEL, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    return _marked(px, components(px, flag, height, width, False).where(F.col("size") >= least), out)
 
 
 def drop_detached(px: DataFrame, flag: str, percent: float, height: int, width: int, delta: float = 18.0, least: int = 20, out: str = "kept") -> DataFrame:
@@ -94,23 +104,18 @@ def drop_detached(px: DataFrame, flag: str, percent: float, height: int, width:
     Near: within two 8-connected dilations of the main component. A colour is there if at least
     ``max(least, size / 1000)`` main pixels are within ``delta`` (CIELAB) of the component's median colour.
     """
-    lab = components(px, flag, height, width)
-    size = component_sizes(lab)
-    main = size.where("rank = 1").select(*FRAME, F.col("label").alias("_main"), F.col("size").alias("_msize"))
-    size = size.join(main, list(FRAME)).withColumn("big", F.col("size") >= F.col("_msize") * (percent / 100))
-    lab = lab.join(size.select(*FRAME, "label", "big", "_main", "_msize"), [*FRAME, "label"])
-    own = px.join(lab.where("label = _main").select(*PIXEL, F.lit(True).alias("_m")), PIXEL, "left").withColumn("_m", F.coalesce("_m", F.lit(False)))
-    reach = morph(own.select(*PIXEL, "_m"), "_m", "dilate", height, width, square(3, False), 2).where("_m")
-    near = lab.where("NOT big").join(reach.select(*PIXEL), PIXEL, "left_semi").select(*FRAME, "label").distinct()
-    colour = lab.join(near, [*FRAME, "label"], "left_semi").join(px.select(*PIXEL, *RGB), PIXEL).groupBy(*FRAME, "label", "_msize").agg(*[F.median(c).alias(c) for c in RGB])
-    colour = colour.withColumns(dict(zip(("l1", "a1", "b1"), C.lab([F.col(c) for c in RGB]), strict=True))).drop(*RGB)
-    body = own.where("_m").select(*FRAME, *RGB).withColumns(dict(zip(("l2", "a2", "b2"), C.lab([F.col(c) for c in RGB]), strict=True))).drop(*RGB)
-    close = F.sqrt(C.euclid2([F.col("l1"), F.col("a1"), F.col("b1")], [F.col("l2"), F.col("a2"), F.col("b2")])) < delta
-    alike = colour.join(body, list(FRAME)).groupBy(*FRAME, "label", "_msize").agg(F.sum(close.cast("int")).alias("n"))
-    saved = alike.where(F.col("n") >= F.greatest(F.lit(least), F.floor(F.col("_msize") * 0.001))).select(*FRAME, "label")
-    keep = size.where("big").select(*FRAME, "label").unionByName(saved)
-    hit = lab.join(keep, [*FRAME, "label"], "left_semi").select(*PIXEL, F.lit(True).alias(out))
-    return px.join(hit, PIXEL, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    w, frame = Window.partitionBy(*FRAME, "label"), Window.partitionBy(*FRAME)
+    lab = components(px, flag, height, width).join(px.select(*PIXEL, *RGB), PIXEL)
+    lab = lab.withColumns({"near": F.max("near").over(w), "_main": F.max(F.when(F.col("main"), F.col("size"))).over(frame), "_lab": F.array(*C.lab([F.col(c) for c in RGB]))})
+    lab = lab.withColumns({"big": F.col("size") >= F.col("_main") * (percent / 100), "_med": F.array(*C.lab([F.median(c).over(w) for c in RGB]))})
+    # the main component's colours, one array a frame, against one median a component
+    lab = lab.withColumn("_body", F.collect_list(F.when(F.col("main"), F.col("_lab"))).over(frame))
+    gap = lambda o: F.sqrt(C.euclid2([o[i] for i in range(3)], [F.col("_med")[i] for i in range(3)]))
+    first = F.row_number().over(w.orderBy("y", "x")) == 1
+    alike = F.when(first & F.col("near") & ~F.col("big"), F.size(F.filter("_body", lambda o: gap(o) < delta)))
+    lab = lab.withColumn("_alike", alike).withColumn("_alike", F.max("_alike").over(w))
+    keep = F.col("big") | F.coalesce(F.col("_alike") >= F.greatest(F.lit(least), F.floor(F.col("_main") * 0.001)), F.lit(False))
+    return _marked(px, lab.where(keep), out)
 
 
 def fill_holes(px: DataFrame, flag: str, height: int, width: int) -> DataFrame:
@@ -136,8 +141,6 @@ def hue_families(palette: DataFrame, chroma: float = 25.0, window: float = 35.0)
     Sorted by hue, families are the islands between wider gaps on the circle. A palette is one small
     relation (some hundred rows), ordered as a whole by its kind.
     """
-    from pyspark.sql.window import Window
-
     h, c, _ = C.hcl([F.col(x) for x in RGB])
     w = Window.partitionBy("palette").orderBy("h", "k")
     all_ = Window.partitionBy("palette")

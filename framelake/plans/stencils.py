@@ -109,12 +109,12 @@ def _comp(eight: bool, mask: str = "a > 0.5", name: str = "cc") -> str:
 
 @query("components8", f"WITH RECURSIVE {PX}, {_comp(True)} SELECT {K}, label FROM cc")
 def _(s, d):
-    return G.components(px(s, d, alpha=True).withColumn("f", F.col("a") > 0.5), "f", H, W)
+    return G.components(px(s, d, alpha=True).withColumn("f", F.col("a") > 0.5), "f", H, W).select(*KEY, "label")
 
 
 @query("components4", f"WITH RECURSIVE {PX}, {_comp(False)} SELECT {K}, label FROM cc")
 def _(s, d):
-    return G.components(px(s, d, alpha=True).withColumn("f", F.col("a") > 0.5), "f", H, W, False)
+    return G.components(px(s, d, alpha=True).withColumn("f", F.col("a") > 0.5), "f", H, W, False).select(*KEY, "label")
 
 
 _EDGE = "(y = 0 OR y = 7 OR x = 0 OR x = 7)"
