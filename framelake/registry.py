@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "easy_studio"
-TOPICS = ("colors", "mattes", "temporals", "stencils", "layouts", "rasters", "pipelines")
+TOPICS = ("colors", "mattes", "temporals", "stencils", "layouts", "rasters", "looks", "pipelines")
 
 
 def _load():
