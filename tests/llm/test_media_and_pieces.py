@@ -129,3 +129,7 @@ def test_columns(odd, none):
     assert sp.encode_column(none).count() == 0
     back = {r.id: r.text for r in sp.decode_column(sp.encode_column(odd), id_col="id").collect()}
     assert back == {r.doc_id: r.text or "" for r in odd.collect()}
+
+
+def test_parity_is_verified_on_every_row(spark, sf):
+    assert sp.op10(spark, sf).where("parity IS NULL OR NOT parity").count() == 0
