@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from framelake.ship import ship
 
 
+HOT = 1000
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -52,18 +53,39 @@ def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir`` or, where unset, one of our own."""
+    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``; where that is unset, one of our own in local mode (one machine), an error elsewhere."""
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = os.path.join(tempfile.gettempdir(), f"framelake-checkpoints-{uuid.uuid4().hex[:8]}")
     sc.setCheckpointDir(where)
     return where
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row a ``key``), where a key may hold a large part of ``rows``.
+
+    ``weight`` is a key's number of rows and ``total`` a bound of their sum, so at most ``HOT`` keys
+    can have a ``HOT``-th of all: these are joined by broadcast, and their rows are spread by
+    ``spread`` in the shuffle of the others.
+    """
+    cols = [c for c in table.columns if c != key]
+    one = F.struct(*cols)
+    warm = F.broadcast(table.where(F.col(weight) * HOT >= max(1, total)).select(key, one.alias("_warm")))
+    salt = F.when(F.col("_warm").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(HOT)))
+    cold = table.select(key, one.alias("_cold"), F.lit(0).cast("long").alias("_salt"))
+    out = rows.join(warm, key, "left").withColumn("_salt", salt.cast("long")).join(cold, [key, "_salt"], "left")
+    out = out.withColumn("_warm", F.coalesce("_warm", "_cold"))
+    if how == "inner":
+        out = out.where("_warm IS NOT NULL")
+    return out.select(*rows.columns, *(F.col("_warm")[c].alias(c) for c in cols))
+
+
 def few_parts(rows: int, row_bytes: int = 64) -> int:
     """Partitions of about 32 MB for a table of so many small rows, 12 at least."""
     return max(12, -(-rows * row_bytes // (32 << 20)))
