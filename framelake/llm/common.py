@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from framelake.ship import ship
 
 
-HOT = 1000
+HOT, SALTS = 1000, 32
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -52,6 +52,20 @@ def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(span)) < int(bound / n * span))
 
 
+def sample_texts(rows: DataFrame, labels: DataFrame, most_rows: int, most_bytes: int):
+    """(_id, _text, _y) of a bounded sample of the labelled rows, by id, as an Arrow table on the driver.
+
+    ``rows`` (_id, _text) and ``labels`` (_id, _y). Texts are whole; where ``most_rows`` of them have
+    more than ``most_bytes``, the number of rows is cut in that proportion.
+    """
+    lab = bounded_sample(labels, "_id", most_rows)
+    joined = rows.join(F.broadcast(lab), "_id").select("_id", "_text", "_y")
+    n, size = joined.agg(F.count(F.lit(1)), F.sum(F.octet_length("_text"))).first()
+    if (size or 0) > most_bytes:
+        joined = rows.join(F.broadcast(bounded_sample(labels, "_id", max(1, min(most_rows, lab.count()) * most_bytes // size))), "_id").select("_id", "_text", "_y")
+    return joined.toArrow().sort_by([("_id", "ascending")])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``; where that is unset, one of our own in local mode (one machine), an error elsewhere."""
     sc = spark.sparkContext
@@ -71,19 +85,30 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, total: in
     """``rows`` with the columns of ``table`` (one row a ``key``), where a key may hold a large part of ``rows``.
 
     ``weight`` is a key's number of rows and ``total`` a bound of their sum, so at most ``HOT`` keys
-    can have a ``HOT``-th of all: these are joined by broadcast, and their rows are spread by
-    ``spread`` in the shuffle of the others.
+    can have a ``HOT``-th of all or more. These are listed (their number is bounded, whatever the
+    size), and the rows of each are dealt to ``SALTS`` tasks by ``spread``, with a copy of its one row.
     """
     cols = [c for c in table.columns if c != key]
-    one = F.struct(*cols)
-    warm = F.broadcast(table.where(F.col(weight) * HOT >= max(1, total)).select(key, one.alias("_warm")))
-    salt = F.when(F.col("_warm").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(HOT)))
-    cold = table.select(key, one.alias("_cold"), F.lit(0).cast("long").alias("_salt"))
-    out = rows.join(warm, key, "left").withColumn("_salt", salt.cast("long")).join(cold, [key, "_salt"], "left")
-    out = out.withColumn("_warm", F.coalesce("_warm", "_cold"))
-    if how == "inner":
-        out = out.where("_warm IS NOT NULL")
-    return out.select(*rows.columns, *(F.col("_warm")[c].alias(c) for c in cols))
+    table = cut(table)
+    hot = [r[0] for r in table.where(F.col(weight) * HOT >= max(HOT, total)).select(key).collect()]
+    if not hot:
+        return rows.join(table, key, how).select(*rows.columns, *cols)
+    salt = lambda yes: F.when(F.col(key).isin(hot), yes).otherwise(0)
+    spot = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    every = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), salt(SALTS - 1))))
+    return rows.withColumn("_salt", salt(spot)).join(every, [key, "_salt"], how).select(*rows.columns, *cols)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that Spark has written, wherever it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def filter_rows(docs: DataFrame, run) -> DataFrame:
+    """``docs.mapInArrow`` of a function that keeps some rows as they are; columns may have any name."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def few_parts(rows: int, row_bytes: int = 64) -> int:
