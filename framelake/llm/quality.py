@@ -31,6 +31,7 @@ class Params:
     """``most_rows`` bounds the labelled rows that the fit reads; ``rivals`` the pairs for each row of a label."""
 
     most_rows: int = 8000
+    most_bytes: int = 24 << 20
     rivals: int = 12
     steps: int = 400
     l2: float = 1e-3
@@ -160,15 +161,20 @@ def train_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fits on a bounded sample of the labelled rows: their number has the documented bound ``p.most_rows``."""
+    """Fits on a bounded sample of the labelled rows: ``p.most_rows``, or fewer if their texts have more than ``p.most_bytes``."""
+    common.prepare(docs.sparkSession)
     lab = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y"))
-    lab = common.bounded_sample(lab, "_id", p.most_rows)
-    got = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(lab), "_id").select("_id", "_text", "_y").toArrow().sort_by([("_id", "ascending")])
-    return fit_pairs(tokens.as_texts(got["_text"]), np.asarray(got["_y"].to_numpy(), float), p)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    got = common.sample_texts(rows, lab, p.most_rows, p.most_bytes)
+    m = fit_pairs(tokens.as_texts(got["_text"]), np.asarray(got["_y"].to_numpy(), float), p)
+    del got
+    tokens.trim()
+    return m
 
 
 def score(docs: DataFrame, m: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row; the model is some hundreds of numbers."""
+    common.prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
