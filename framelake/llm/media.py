@@ -54,6 +54,18 @@ def _tokens_pnm(raw: bytes, count: int) -> tuple[list[int], int]:
     return out, at + 1
 
 
+def _plain_samples(body: bytes, n: int, top: int, bitmap: bool) -> np.ndarray:
+    """The first ``n`` samples of a plain body, in which a # starts a comment up to the line's end."""
+    body = b"\n".join(line.split(b"#", 1)[0] for line in body.replace(b"\r", b"\n").split(b"\n"))
+    words = [bytes([x]) for x in b"".join(body.split())[:n]] if bitmap else body.split(None, n)[:n]
+    if not all(w.isdigit() and len(w) < 19 for w in words):
+        raise ValueError("netpbm: a sample isn't a number")
+    flat = np.array([int(w) for w in words], np.int64)
+    if (flat > top).any():
+        raise ValueError("netpbm: a sample above the maximum")
+    return flat.astype(np.uint8 if top < 256 else np.uint16)
+
+
 def _decode_pnm(raw: bytes) -> np.ndarray:
     kind = raw[1] - 48
     bitmap, plain, channels = kind in (1, 4), kind < 4, 3 if kind in (3, 6) else 1
@@ -61,22 +73,37 @@ def _decode_pnm(raw: bytes) -> np.ndarray:
     width, height, top = head[0], head[1], 1 if bitmap else head[2]
     if not 1 <= top <= 65535:
         raise ValueError("netpbm: bad maximum")
-    n = width * height * channels
+    if not plain and not raw[at - 1 : at].isspace():
+        raise ValueError("netpbm: no space after the header")
+    row = (width + 7) // 8 if bitmap else width * channels
+    n, unit = (width * height * channels, 1) if plain else (row * height, 2 if top > 255 else 1)
+    if len(raw) - at < (n * unit if not plain else min(n, 1)):
+        raise ValueError("netpbm: data cut short")
     if plain:
-        body = raw[at:]
-        flat = np.array(list(body.translate(None, b" \t\r\n")), np.int64) - 48 if bitmap else np.array(body.split(), np.int64)
-        flat = flat.astype(np.uint8 if top < 256 else np.uint16)
+        flat = _plain_samples(raw[at - 1 :], n, top, bitmap)
     elif bitmap:
-        row = (width + 7) // 8
-        flat = np.frombuffer(raw, np.uint8, -1, at)[: row * height]
-        if len(flat) < row * height:
-            raise ValueError("netpbm: data cut short")
-        flat = np.unpackbits(flat.reshape(height, row), axis=1)[:, :width].reshape(-1)
+        flat = np.unpackbits(np.frombuffer(raw, np.uint8, n, at).reshape(height, row), axis=1)[:, :width].reshape(-1) if n else np.zeros(0, np.uint8)
     else:
-        flat = np.frombuffer(raw, np.uint8 if top < 256 else ">u2", -1, at) if len(raw) - at >= (1 if top < 256 else 2) else np.zeros(0, np.uint8)
-    if len(flat) < n:
+        flat = np.frombuffer(raw, np.uint8 if unit == 1 else ">u2", n, at) if n else np.zeros(0, np.uint8)
+        if len(flat) and int(flat.max()) > top:
+            raise ValueError("netpbm: a sample above the maximum")
+    if len(flat) < width * height * channels:
         raise ValueError("netpbm: data cut short")
-    return flat[:n].reshape(height, width, channels)
+    return flat.reshape(height, width, channels)
+
+
+def _masked(rows: np.ndarray, masks: list[int]) -> np.ndarray:
+    """Channels of 8 bits, picked by bit masks from pixels of 16 or 32 bits."""
+    out = []
+    for m in masks:
+        if not m:
+            raise ValueError("bmp: an empty channel mask")
+        shift = (m & -m).bit_length() - 1
+        top = m >> shift
+        if top & (top + 1):
+            raise ValueError("bmp: a channel mask with gaps")
+        out.append((((rows.astype(np.int64) & m) >> shift) * 255 + top // 2) // top)
+    return np.stack(out, axis=2).astype(np.uint8)
 
 
 def _decode_bmp(raw: bytes) -> np.ndarray:
@@ -85,21 +112,33 @@ def _decode_bmp(raw: bytes) -> np.ndarray:
     at, header = (int.from_bytes(raw[i : i + 4], "little") for i in (10, 14))
     width, height = (int.from_bytes(raw[i : i + 4], "little", signed=True) for i in (18, 22))
     bits, packed = int.from_bytes(raw[28:30], "little"), int.from_bytes(raw[30:34], "little")
-    if bits not in (1, 4, 8, 24, 32) or packed not in (0, 3) or width < 0:
+    if (bits, packed) not in ((1, 0), (4, 0), (8, 0), (24, 0), (32, 0), (16, 0), (16, 3), (32, 3)) or width < 0 or header < 40:
         raise ValueError("bmp: unsupported kind")
     down, height = height < 0, abs(height)
     row = (width * bits + 31) // 32 * 4
     if len(raw) < at + row * height:
         raise ValueError("bmp: data cut short")
+    if not row * height:
+        return np.zeros((height, width, 3), np.uint8)
     rows = np.frombuffer(raw, np.uint8, row * height, at).reshape(height, row)
     if bits <= 8:
         colours = int.from_bytes(raw[46:50], "little") or 1 << bits
+        if not 0 < colours <= 1 << bits or len(raw) < 14 + header + colours * 4:
+            raise ValueError("bmp: palette cut short")
         lut = np.frombuffer(raw, np.uint8, colours * 4, 14 + header).reshape(-1, 4)[:, 2::-1]
         if bits < 8:
             rows = np.unpackbits(rows, axis=1).reshape(height, -1, bits) @ (1 << np.arange(bits)[::-1])
-        pixel = lut[rows[:, :width]]
+        index = rows[:, :width]
+        if int(index.max()) >= colours:
+            raise ValueError("bmp: a pixel beyond the palette")
+        pixel = lut[index]
         if (lut[:, 0] == lut[:, 1]).all() and (lut[:, 1] == lut[:, 2]).all():
             pixel = pixel[:, :, :1]
+    elif bits == 16 or packed == 3:
+        if packed == 3 and len(raw) < 66:
+            raise ValueError("bmp: masks cut short")
+        masks = [int.from_bytes(raw[i : i + 4], "little") for i in (54, 58, 62)] if packed == 3 else [0x7C00, 0x03E0, 0x001F]
+        pixel = _masked(np.ascontiguousarray(rows).view("<u2" if bits == 16 else "<u4")[:, :width], masks)
     else:
         pixel = rows[:, : width * (bits // 8)].reshape(height, width, bits // 8)[:, :, 2::-1]
     return pixel if down else pixel[::-1]
@@ -135,13 +174,15 @@ def grey_of(pixel: np.ndarray) -> np.ndarray:
     return pixel[:, :, 0].astype(np.float64) if pixel.shape[2] == 1 else pixel[:, :, :3].astype(np.float64) @ np.array([0.299, 0.587, 0.114])
 
 
-def area_resize(grey: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over equal areas: the integral image, interpolated at the fractional cell borders."""
+def area_resize(grey: np.ndarray, height: int, width: int, band: int = 4096) -> np.ndarray:
+    """Means over equal areas: the integral image, interpolated at the fractional cell borders.
+
+    The integral image is made ``band`` rows at a time, with the last row carried on, so that a tall
+    image takes no more memory than that beside itself.
+    """
     h, w = grey.shape
     if h == 0 or w == 0:
         return np.zeros((height, width))
-    total = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(grey, 0, dtype=np.float64), 1, out=total[1:, 1:])
 
     def borders(size: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.arange(cells + 1) * (size / cells)
@@ -150,7 +191,15 @@ def area_resize(grey: np.ndarray, height: int, width: int) -> np.ndarray:
 
     y, fy = borders(h, height)
     x, fx = borders(w, width)
-    rows = total[y] * (1 - fy)[:, None] + total[y + 1] * fy[:, None]
+    rows = np.zeros((height + 1, w + 1))
+    above = np.zeros(w + 1)
+    for lo in range(0, h, band):
+        part = np.zeros((min(band, h - lo) + 1, w + 1))
+        np.cumsum(np.cumsum(grey[lo : lo + band], 0, dtype=np.float64), 1, out=part[1:, 1:])
+        part += above
+        here = (y >= lo) & (y < lo + band)
+        rows[here] = part[y[here] - lo] * (1 - fy[here])[:, None] + part[y[here] - lo + 1] * fy[here][:, None]
+        above = part[-1]
     cell = rows[:, x] * (1 - fx) + rows[:, x + 1] * fx
     return np.diff(np.diff(cell, axis=0), axis=1) * (height * width / (h * w))
 
@@ -202,11 +251,12 @@ def _describe(raw: bytes) -> tuple:
     back = from_tiles(media)
     read = back.tobytes()
     kind = "bmp" if zlib.crc32(payload) & 1 else "pgm"
-    return (len(raw), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), dhash(back.astype(np.float64)), kind, -(-back.shape[0] // TILE_ROWS))
+    return (len(raw), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), dhash(back), kind, -(-back.shape[0] // TILE_ROWS))
 
 
 def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
     """(id, payload and media columns) of every row; with ``keep_media`` the stored tiles too, as binary."""
+    common.prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {src.schema['id'].dataType.simpleString()}, {SCHEMA}" + ", media binary" * keep_media
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
@@ -230,6 +280,7 @@ def decode_column(df: DataFrame, *, id_col: str, media_col: str, thumb: int = 16
 
     ``thumb`` is an NPY file of the grey ``thumb x thumb`` area mean. A null or bad file has only ``error``.
     """
+    common.prepare(df.sparkSession)
     src = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
 
     def one(raw: bytes | None) -> tuple:
