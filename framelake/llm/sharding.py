@@ -6,13 +6,15 @@ order are cut into shards: each shard, and each file or row group in it, covers
 dimensions at once, so that min/max statistics prune by any of them.
 
 The law is ``rows``: row counts of the shards differ by one at most. Rows of one cell are ordered by
-slice, checksum of the text and id, so equal texts with equal metadata stand together.
+checksum of the text and id, so equal texts with equal metadata stand together.
 
 Plan: counts by cell are a partial aggregate over the metadata columns, and prefix sums run over at
-most ``2 ** (bits * dims)`` cells. A cell of more than ``slice_rows`` rows (or a thousandth of all,
-if that is less) is split into slices by a hash of the id, with prefix sums of its own, so that a cell with a third of all rows is dealt over
-many tasks. Only the last ranking sorts rows, by (cell, slice). Text is read for size and checksum
-and never shuffled. No rank needs all rows in one task.
+most ``2 ** (bits * dims)`` cells. A cell is cut into slices of about ``slice_rows`` rows (or a
+thousandth of all, if that is less) by the range of the checksum, with prefix sums of its own, so that
+a cell with a third of all rows is dealt over many tasks. A slice that holds more than a thousandth of
+all rows (so many copies of a text; there are at most 1000 such slices) is dealt over parts by a hash
+of the id. Only the last ranking sorts rows, by (cell, slice, part). Text is read for size and
+checksum and never shuffled. No rank needs all rows in one task.
 
 Defined results: a null text has size 1 (none + 1) and checksum 0; null metadata is step 0; equal
 keys are ordered by id, and repeated rows get different slots in any order (they are alike); an
@@ -28,6 +30,9 @@ from pyspark.sql.window import Window
 from framelake.llm import common
 
 
+MOST_CELLS = 1 << 20
+HOT_PARTS = 32
+
 def quantise(c: Column, kind: str, bits: int) -> Column:
     """A step from 0 to ``2 ** bits - 1``: null is 0; numbers by half powers of two; others by checksum."""
     top = (1 << bits) - 1
@@ -72,7 +77,12 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
 
 
 def shard_rows(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("lang", "source", "n_chars"), bits: int = 5, slice_rows: int = 10_000) -> DataFrame:
-    """(id, size, text_crc32, hilbert, shard, slot) of every row."""
+    """(id, size, text_crc32, hilbert, shard, slot) of every row.
+
+    ``2 ** (bits * len(dims))`` cells are counted in a broadcast table: ``MOST_CELLS`` at most.
+    """
+    if bits * len(dims) > MOST_CELLS.bit_length() - 1:
+        raise ValueError(f"{bits} bits in {len(dims)} dimensions make more than {MOST_CELLS} cells")
     kinds = dict(docs.dtypes)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -82,18 +92,25 @@ def shard_rows(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", tex
         hilbert_index([quantise(F.col(c), kinds[c], bits) for c in dims], bits).alias("hilbert"),
     )
     n = docs.count()
-    slice_rows = max(1, min(slice_rows, n // 1000))
-    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    slice_rows = max(1, min(slice_rows, max(16, n // 1000)))
+    before = lambda *by: Window.partitionBy("hilbert").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    all_before = Window.orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)
     cells = rows.groupBy("hilbert").agg(F.count(F.lit(1)).alias("cell_n"))
-    cells = cells.select("hilbert", "cell_n", F.coalesce(F.sum("cell_n").over(before("hilbert")), F.lit(0)).alias("cell_at"))
+    cells = cells.select("hilbert", "cell_n", F.coalesce(F.sum("cell_n").over(all_before), F.lit(0)).alias("cell_at"))
     # at most 2 ** (bits * dims) rows of 24 bytes, whatever the input: 786 kB for 5 bits in 3 dimensions
     rows = rows.join(F.broadcast(cells), "hilbert")
-    hashed = F.pmod(F.xxhash64("id"), 2 * F.ceil(F.col("cell_n") / slice_rows))
-    rows = rows.withColumn("slice", F.when(F.col("cell_n") > slice_rows, hashed).otherwise(F.lit(0)).cast("int"))
-    by_slice = rows.groupBy("hilbert", "slice").agg(F.count(F.lit(1)).alias("n"))
-    by_slice = by_slice.select("hilbert", "slice", F.coalesce(F.sum("n").over(before("hilbert", "slice")), F.lit(0)).alias("slice_at"))
-    rank = F.row_number().over(Window.partitionBy("hilbert", "slice").orderBy("text_crc32", "id"))
-    place = rows.withColumn("rank", rank).join(by_slice, ["hilbert", "slice"]).withColumn("place", F.col("cell_at") + F.col("slice_at") + F.col("rank") - 1)
+    # a cell's rows stand in the order of their texts' checksums, cut into slices that tasks rank one by one
+    rows = rows.withColumn("slice", F.floor(F.col("text_crc32") * F.ceil(2 * F.col("cell_n") / slice_rows) / F.lit(1 << 32)).cast("long"))
+    # a slice can outgrow a thousandth of all rows only by a text with that many copies: it is dealt by ids
+    name = F.concat_ws(":", "hilbert", "slice")
+    hot = [r[0] for r in rows.groupBy("hilbert", "slice").count().where(F.col("count") > max(4 * slice_rows, n // 1000)).select(name).collect()]
+    part = F.pmod(F.xxhash64("id"), F.lit(HOT_PARTS)).cast("int")
+    rows = rows.withColumn("part", F.when(name.isin(hot), part).otherwise(0) if hot else F.lit(0))
+    at = ["hilbert", "slice", "part"]
+    by_part = rows.groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
+    by_part = by_part.select(*at, F.coalesce(F.sum("n").over(before("slice", "part")), F.lit(0)).alias("part_at"))
+    rank = F.row_number().over(Window.partitionBy(*at).orderBy("text_crc32", "id"))
+    place = rows.withColumn("rank", rank).join(by_part, at).withColumn("place", F.col("cell_at") + F.col("part_at") + F.col("rank") - 1)
     # the first shards take one row more where the count doesn't divide
     each, more = divmod(n, shards)
     edge = more * (each + 1)
