@@ -51,13 +51,16 @@ def chroma_key(px: DataFrame, c: Key, height: int, width: int) -> DataFrame:
     """
     lab = M.with_lab(px)
     test = lambda keys, tol, sh: reduce(lambda p, q: p | q, [M.is_candidate(list(C.lab([F.lit(v) for v in k])), tol, sh) for k in keys])
-    rows = lab.withColumns({"_c": test(c.keys, c.tolerance, c.shadow), "_one": test(c.keys[:1], c.tolerance, c.shadow), "_t": test(c.keys[:1], c.tolerance * c.interior_tolerance, c.shadow), "_strong": ~test(c.keys, min(1.0, 2 * c.tolerance), c.shadow)}).drop(*M.LAB)
+    rows = lab.withColumns({"_c": test(c.keys, c.tolerance, c.shadow), "_one": test(c.keys[:1], c.tolerance, c.shadow), "_t": test(c.keys[:1], c.tolerance * c.interior_tolerance, c.shadow), "_strong": ~test(c.keys, min(1.0, 2 * c.tolerance), c.shadow), "_strict": test(c.keys[:1], 0.4 * c.tolerance, c.shadow)}).drop(*M.LAB)
     rows = settle(G.border_flood(rows, "_c", height, width, True, "back"))
     if c.interior:
         rows = rows.withColumn("_in", F.col("_one") & ~F.col("back"))
         rows = G.interior_gaps(rows, "_in", "_t", int(c.area / 100 * height * width), height, width, out="_gap").withColumn("back", F.col("back") | F.col("_gap")).drop("_gap", "_in")
         rows = settle(rows)
-    rows = settle(R.rescue_subject(rows, "back", height, width))
+    # a rescued subject's hull covers gaps that are backdrop: they are keyed again
+    rows = settle(R.rescue_subject(rows, "back", "_strict", height, width)).withColumn("_in", F.col("_one") & ~F.col("back") & F.col("saved"))
+    rows = G.interior_gaps(rows, "_in", "_t", int(c.area / 100 * height * width), height, width, out="_gap").withColumn("back", F.col("back") | F.col("_gap")).drop("_gap", "_in", "saved", "_strict")
+    rows = settle(rows)
     if c.vote:
         rows = T.guarded_vote(T.vote3(rows, F.col("back"), CELL, out="_v"), "_v", "back", "_t", "_strong", "_k").withColumn("back", F.col("_k")).drop("_v", "_k")
     rows = rows.withColumn("front", ~F.col("back")).drop("_c", "_one", "_t", "_strong", "back")

@@ -104,18 +104,20 @@ def drop_detached(px: DataFrame, flag: str, percent: float, height: int, width:
     Near: within two 8-connected dilations of the main component. A colour is there if at least
     ``max(least, size / 1000)`` main pixels are within ``delta`` (CIELAB) of the component's median colour.
     """
-    w, frame = Window.partitionBy(*FRAME, "label"), Window.partitionBy(*FRAME)
+    part = [*FRAME, "label"]
     lab = components(px, flag, height, width).join(px.select(*PIXEL, *RGB), PIXEL)
-    lab = lab.withColumns({"near": F.max("near").over(w), "_main": F.max(F.when(F.col("main"), F.col("size"))).over(frame), "_lab": F.array(*C.lab([F.col(c) for c in RGB]))})
-    lab = lab.withColumns({"big": F.col("size") >= F.col("_main") * (percent / 100), "_med": F.array(*C.lab([F.median(c).over(w) for c in RGB]))})
-    # the main component's colours, one array a frame, against one median a component
-    lab = lab.withColumn("_body", F.collect_list(F.when(F.col("main"), F.col("_lab"))).over(frame))
-    gap = lambda o: F.sqrt(C.euclid2([o[i] for i in range(3)], [F.col("_med")[i] for i in range(3)]))
-    first = F.row_number().over(w.orderBy("y", "x")) == 1
-    alike = F.when(first & F.col("near") & ~F.col("big"), F.size(F.filter("_body", lambda o: gap(o) < delta)))
-    lab = lab.withColumn("_alike", alike).withColumn("_alike", F.max("_alike").over(w))
+    parts = lab.groupBy(*part).agg(F.max("near").alias("near"), F.max("size").alias("size"), F.max("main").alias("main"), *[F.median(c).alias(c) for c in RGB])
+    main = parts.where("main").select(*FRAME, F.col("size").alias("_main"))
+    parts = parts.join(main, list(FRAME)).withColumn("big", F.col("size") >= F.col("_main") * (percent / 100))
+    named = lambda prefix: dict(zip([f"{prefix}{c}" for c in RGB], C.lab([F.col(c) for c in RGB]), strict=True))
+    # the main component's different colours with their numbers, against one median a component
+    body = lab.where("main").groupBy(*FRAME, *RGB).agg(F.count(F.lit(1)).alias("n")).withColumns(named("o")).drop(*RGB)
+    asked = parts.where("near AND NOT big").withColumns(named("m"))
+    gap = F.sqrt(C.euclid2([F.col(f"o{c}") for c in RGB], [F.col(f"m{c}") for c in RGB]))
+    alike = asked.join(body, list(FRAME)).where(gap < delta).groupBy(*part).agg(F.sum("n").alias("_alike"))
+    parts = parts.join(alike, part, "left")
     keep = F.col("big") | F.coalesce(F.col("_alike") >= F.greatest(F.lit(least), F.floor(F.col("_main") * 0.001)), F.lit(False))
-    return _marked(px, lab.where(keep), out)
+    return _marked(px, lab.join(parts.where(keep).select(*part), part, "left_semi"), out)
 
 
 def fill_holes(px: DataFrame, flag: str, height: int, width: int) -> DataFrame:

@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Writes a stage to the shared checkpoint folder (``spark.checkpoint.dir``; a temporary one only where it is unset) and reads it from there.
+    """Writes a stage to the shared checkpoint folder (``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and an error elsewhere) and reads it from there.
 
     Stages that join a table with what was worked out from it would otherwise repeat all earlier stages in each branch.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"framelake-{uuid.uuid4().hex[:8]}"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), f"framelake-{uuid.uuid4().hex[:8]}"))
     return df.checkpoint(eager=True)

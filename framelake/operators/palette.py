@@ -120,8 +120,8 @@ def merge_near(palette: DataFrame, by: list[str], threshold: float = 7.0) -> Dat
     return whole.select(*by, F.inline(F.when(F.size("all") <= 2, F.col("all")).otherwise(fold))).drop("lab_l", "lab_a", "lab_b")
 
 
-def pull_to_core(px: DataFrame, palette: DataFrame) -> DataFrame:
-    """(k, r, g, b): each entry moved three quarters to the most chromatic pixel of its core.
+def pull_to_core(px: DataFrame, palette: DataFrame, by: list[str]) -> DataFrame:
+    """(by, k, r, g, b): for each group, each entry moved three quarters to the most chromatic pixel of its core.
 
     The core: of the pixels nearest to the entry, the closest 40 of 100, one at least and 150 at
     most; it moves entries only where that chroma is over 20 and over the entry's own.
@@ -129,16 +129,16 @@ def pull_to_core(px: DataFrame, palette: DataFrame) -> DataFrame:
     own = [F.col(n) for n in RGB]
     pal = F.broadcast(palette.select("k", *[F.col(c).alias(f"p{c}") for c in RGB]))
     near = with_nearest(px, palette, "redmean").join(pal, "k")
-    order = Window.partitionBy("k").orderBy("k_d2", *[c for c in px.columns])
-    size = Window.partitionBy("k")
+    order = Window.partitionBy(*by, "k").orderBy("k_d2", *[c for c in px.columns])
+    size = Window.partitionBy(*by, "k")
     core = near.withColumn("rank", F.row_number().over(order)).withColumn("size", F.count(F.lit(1)).over(size))
     core = core.where(F.col("rank") <= F.greatest(F.lit(1), F.least(F.lit(150), F.floor(F.col("size") * F.lit(0.4).cast("double")))))
     chroma = F.greatest(*own) - F.least(*own)
-    best = core.groupBy("k").agg(F.max(F.struct(chroma.alias("c"), (-F.col("rank")).alias("nr"), *RGB)).alias("best"))
-    out = palette.join(best, "k", "left")
+    best = core.groupBy(*by, "k").agg(F.max(F.struct(chroma.alias("c"), (-F.col("rank")).alias("nr"), *RGB)).alias("best"))
+    out = px.select(*by).distinct().crossJoin(F.broadcast(palette)).join(best, [*by, "k"], "left")
     flat = F.greatest(*own) - F.least(*own)
     move = (F.col("best.c") > 20) & (F.col("best.c") > flat)
-    return out.select("k", *[F.when(move, F.rint(F.col(c) * 0.25 + F.col(f"best.{c}") * 0.75)).otherwise(F.col(c)).cast("int").alias(c) for c in RGB])
+    return out.select(*by, "k", *[F.when(move, F.rint(F.col(c) * 0.25 + F.col(f"best.{c}") * 0.75)).otherwise(F.col(c)).cast("int").alias(c) for c in RGB])
 
 
 def shade_ramp(palette: DataFrame, bands: int = 4, ambient: float = 0.35, hue_shift: float = 0.3, vibrancy: float = 1.0) -> DataFrame:

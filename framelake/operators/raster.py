@@ -21,15 +21,15 @@ from framelake.operators.temporal import CELL, despike_matte, static_cells
 PIXEL = [*FRAME, "y", "x"]
 
 
-def per_frame(px: DataFrame, height: int, width: int, work: Callable[[np.ndarray], np.ndarray], out: tuple[str, ...] = RGB, kind: str = "double") -> DataFrame:
-    """Applies ``work`` to each frame's (height, width, 3) array; the result's last axis has one entry a name of ``out``."""
-    src = px.select(*[F.col(c).cast("long").alias(c) for c in PIXEL], *[F.col(c).cast("double").alias(c) for c in RGB])
+def per_frame(px: DataFrame, height: int, width: int, work: Callable[[np.ndarray], np.ndarray], out: tuple[str, ...] = RGB, kind: str = "double", cols: tuple[str, ...] = RGB) -> DataFrame:
+    """Applies ``work`` to each frame's (height, width, columns) array; the result's last axis has one entry a name of ``out``."""
+    src = px.select(*[F.col(c).cast("long").alias(c) for c in PIXEL], *[F.col(c).cast("double").alias(c) for c in cols])
     arrow = pa.float64() if kind == "double" else pa.int64()
 
     def run(table: pa.Table) -> pa.Table:
         y, x = table["y"].to_numpy(), table["x"].to_numpy()
-        frame = np.zeros((height, width, 3))
-        for i, c in enumerate(RGB):
+        frame = np.zeros((height, width, len(cols)))
+        for i, c in enumerate(cols):
             frame[y, x, i] = table[c].to_numpy()
         done = np.atleast_3d(work(frame))
         return pa.table([*(table[c] for c in PIXEL), *(pa.array(done[y, x, i]).cast(arrow) for i in range(len(out)))], [*PIXEL, *out])
@@ -37,10 +37,10 @@ def per_frame(px: DataFrame, height: int, width: int, work: Callable[[np.ndarray
     return src.groupBy(*FRAME).applyInArrow(run, ", ".join([*(f"{c} long" for c in PIXEL), *(f"{c} {kind}" for c in out)]))
 
 
-def _taps(frame: np.ndarray, reach: int):
-    """(dy, dx, shifted frame), edges repeated."""
+def taps(frame: np.ndarray, reach: int, border: str = "edge"):
+    """(dy, dx, shifted frame), edges repeated or, with ``reflect``, mirrored about the border pixel."""
     h, w = frame.shape[:2]
-    pad = np.pad(frame, ((reach, reach), (reach, reach), (0, 0)), mode="edge")
+    pad = np.pad(frame, ((reach, reach), (reach, reach), (0, 0)), mode=border)
     for dy in range(-reach, reach + 1):
         for dx in range(-reach, reach + 1):
             yield dy, dx, pad[reach + dy : reach + dy + h, reach + dx : reach + dx + w]
@@ -52,7 +52,7 @@ def gaussian(px: DataFrame, sigma: float, height: int, width: int) -> DataFrame:
 
     def work(frame: np.ndarray) -> np.ndarray:
         total, weight = np.zeros_like(frame), 0.0
-        for dy, dx, near in _taps(frame, reach):
+        for dy, dx, near in taps(frame, reach):
             g = np.exp(-(dy * dy + dx * dx) / (2 * sigma * sigma))
             total, weight = total + g * near, weight + g
         return total / weight
@@ -60,25 +60,50 @@ def gaussian(px: DataFrame, sigma: float, height: int, width: int) -> DataFrame:
     return per_frame(px, height, width, work)
 
 
+def feather(px: DataFrame, softness: float, height: int, width: int) -> DataFrame:
+    """The matte ``a`` blurred by 8 pixels of deviation a unit of softness, cut at four deviations, mirrored at the frame's edge."""
+    sigma = 8.0 * softness
+    reach = int(4 * sigma + 0.5)
+    kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma * sigma))
+    kernel /= kernel.sum()
+
+    def work(frame: np.ndarray) -> np.ndarray:
+        for axis in (0, 1):
+            edges = [(reach, reach) if k == axis else (0, 0) for k in range(3)]
+            pad, n = np.pad(frame, edges, mode="symmetric"), frame.shape[axis]
+            frame = sum(g * np.take(pad, range(k, k + n), axis) for k, g in enumerate(kernel))
+        return np.clip(frame, 0, 1)
+
+    soft = per_frame(px, height, width, work, ("_soft",), cols=("a",))
+    return px.join(soft, PIXEL).withColumn("a", F.col("_soft")).drop("_soft")
+
+
 def bilateral(px: DataFrame, strength: float, passes: int, height: int, width: int) -> DataFrame:
-    """Flattens areas and keeps edges: 9 x 9 taps weighted by distance (deviation 9) and colour (16 + 14 a unit of strength)."""
+    """Flattens areas and keeps edges, in whole values.
+
+    Taps within 4 pixels (a round window), mirrored about the border pixel, weighted by distance
+    (deviation 9) and by the sum of channel steps (deviation 16 + 14 a unit of strength).
+    """
     colour, space = 16 + 14 * strength, 9.0
 
     def work(frame: np.ndarray) -> np.ndarray:
         for _ in range(passes):
             total, weight = np.zeros_like(frame), np.zeros(frame.shape[:2])
-            for dy, dx, near in _taps(frame, 4):
+            for dy, dx, near in taps(frame, 4, "reflect"):
+                if dy * dy + dx * dx > 16:
+                    continue
                 gap = np.abs(near - frame).sum(2)
                 g = np.exp(-(dy * dy + dx * dx) / (2 * space * space) - gap * gap / (2 * colour * colour))
                 total, weight = total + g[:, :, None] * near, weight + g
-            frame = total / weight[:, :, None]
+            frame = np.rint(total / weight[:, :, None])
         return frame
 
     return per_frame(px, height, width, work)
 
 
-def unsharp(px: DataFrame, amount: float, height: int, width: int, sigma: float = 2.0, threshold: float = 2.0) -> DataFrame:
-    """Adds ``amount`` times the difference from the blur where that is over the threshold."""
+def unsharp(px: DataFrame, sharpen: float, height: int, width: int, sigma: float = 2.0, threshold: float = 2.0) -> DataFrame:
+    """Adds a whole percentage (150 a unit of ``sharpen``) of the difference from the blur where that is over the threshold."""
+    amount = int(sharpen * 150) / 100
     blurred = gaussian(px, sigma, height, width).withColumnsRenamed({c: f"_{c}" for c in RGB})
     gap = lambda c: F.col(c) - F.col(f"_{c}")
     rows = px.join(blurred, PIXEL)
@@ -144,24 +169,30 @@ def floyd_steinberg(px: DataFrame, colours: list[tuple[int, int, int]], height:
 def nearest_opaque(px: DataFrame, height: int, width: int) -> DataFrame:
     """Transparent pixels take the colour of the nearest opaque one of their frame; the first in reading order of equally near ones.
 
-    All within one frame: candidates of a row are found by distance in ever larger squares.
+    Two passes: the nearest opaque pixel of the same row for each place, then the best of all rows.
     """
-    rows = px.withColumn("_a", (F.col("a") > 0.5).cast("double"))
-    src = rows.select(*[F.col(c).cast("long").alias(c) for c in PIXEL], *[F.col(c).cast("double").alias(c) for c in RGB], "_a")
+    far = 4 * (height + width) ** 2
 
-    def run(table: pa.Table) -> pa.Table:
-        y, x = table["y"].to_numpy(), table["x"].to_numpy()
-        solid = table["_a"].to_numpy() > 0.5
-        colour = np.column_stack([table[c].to_numpy() for c in RGB])
-        out = colour.copy()
-        if solid.any():
-            order = np.flatnonzero(solid)[np.lexsort((x[solid], y[solid]))]
-            for i in np.flatnonzero(~solid):
-                d = (y[order] - y[i]) ** 2 + (x[order] - x[i]) ** 2
-                out[i] = colour[order[int(d.argmin())]]
-        return pa.table([*(table[c] for c in PIXEL), *(pa.array(out[:, i]) for i in range(3))], [*PIXEL, *RGB])
+    def work(frame: np.ndarray) -> np.ndarray:
+        solid = frame[:, :, 3] > 0.5
+        if not solid.any():
+            return frame[:, :, :3]
+        xs = np.arange(width)
+        left = np.maximum.accumulate(np.where(solid, xs, -far), axis=1)
+        right = np.minimum.accumulate(np.where(solid, xs, far)[:, ::-1], axis=1)[:, ::-1]
+        spot = np.where(xs - left <= right - xs, left, right)  # of equally near ones the left
+        across = np.minimum((spot - xs) ** 2, far)
+        ys = np.arange(height)
+        best, row = np.full((height, width), 2 * far), np.zeros((height, width), np.int64)
+        for y in range(height):  # rows in order: only a nearer one replaces an earlier one
+            d = (ys[:, None] - y) ** 2 + across[y][None]
+            nearer = d < best
+            best, row = np.where(nearer, d, best), np.where(nearer, y, row)
+        x = np.clip(spot[row, xs[None]], 0, width - 1)
+        return np.where(solid[:, :, None], frame[:, :, :3], frame[row, x, :3])
 
-    return src.groupBy(*FRAME).applyInArrow(run, ", ".join([*(f"{c} long" for c in PIXEL), *(f"{c} double" for c in RGB)]))
+    rows = px.withColumn("_a", (F.col("a") > 0.5).cast("double"))
+    return per_frame(rows, height, width, work, cols=(*RGB, "_a"))
 
 
 def median_cut(px: DataFrame, colours: int, by: str = "run_id") -> DataFrame:
@@ -284,13 +315,24 @@ def movelock(source: DataFrame, px: DataFrame, threshold: float, height: int, wi
 CELL_LIST = list(CELL)
 
 
-def rescue_subject(px: DataFrame, flag: str, height: int, width: int, eaten: float = 0.85, least: float = 0.02) -> DataFrame:
-    """Where the background takes ``eaten`` of a frame and leaves under ``least``, the largest hull of what is left, its holes filled, is foreground again."""
-    from framelake.operators.graph import fill_holes, largest_island
+def rescue_subject(px: DataFrame, flag: str, strict: str, height: int, width: int, eaten: float = 0.85, least: float = 0.02) -> DataFrame:
+    """Brings back a subject that a flood has eaten: where the background ``flag`` takes ``eaten`` of a frame and leaves under ``least``.
 
-    share = px.groupBy(*FRAME).agg(F.avg(F.col(flag).cast("int")).alias("_bg"))
-    rows = px.join(share, list(FRAME)).withColumn("_fg", ~F.col(flag))
-    hull = fill_holes(largest_island(rows, "_fg", height, width, True, "_main").select(*PIXEL, F.col("_main").alias("_hull")), "_hull", height, width)
-    rows = rows.join(hull.select(*PIXEL, "_hull"), PIXEL)
-    failed = (F.col("_bg") >= eaten) & (1 - F.col("_bg") < least)
-    return rows.withColumn(flag, F.when(failed & F.col("_hull"), F.lit(False)).otherwise(F.col(flag))).drop("_bg", "_fg", "_hull")
+    ``strict`` marks pixels that are background by a narrower tolerance. What a flood of these from
+    the border leaves still has the subject's outline: the hull is its largest 8-connected part, closed
+    twice, with its holes filled, and is foreground again. Adds ``saved``, whether the frame changed.
+    """
+    from framelake.operators.graph import border_flood, fill_holes, largest_island
+    from framelake.operators.stencil import morph
+
+    share = px.groupBy(*FRAME).agg(F.avg(F.col(flag).cast("int")).alias("_bg")).where((F.col("_bg") >= eaten) & (1 - F.col("_bg") < least)).select(*FRAME)
+    failed = px.join(share, list(FRAME), "left_semi").select(*PIXEL, F.col(flag).alias("_flag"), F.col(strict).alias("_strict"))
+    left = border_flood(failed, "_strict", height, width, True, "_out").withColumn("_in", ~F.col("_out"))
+    hull = largest_island(left, "_in", height, width, True, "_hull").select(*PIXEL, "_flag", "_hull")
+    for how in ("dilate", "erode"):
+        hull = morph(hull, "_hull", how, height, width, square(3, False), 2)
+    hull = fill_holes(hull, "_hull", height, width)
+    back = hull.where("_hull AND _flag").select(*PIXEL, F.lit(True).alias("_back"))
+    saved = back.select(*FRAME).distinct().withColumn("saved", F.lit(True))
+    rows = px.join(back, PIXEL, "left").join(saved, list(FRAME), "left")
+    return rows.withColumns({flag: F.col(flag) & F.col("_back").isNull(), "saved": F.coalesce("saved", F.lit(False))}).drop("_back")

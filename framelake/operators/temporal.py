@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -280,3 +282,34 @@ def loop_trim(px: DataFrame, share: float, most: float, run: str = "run_id") ->
     err = pairs.groupBy(*keys).agg(F.coalesce(F.avg(F.when(seen, diff)) / 2, F.lit(0.0)).alias("err"))
     best = err.groupBy(run).agg(F.min(F.struct(F.round("err", 9).alias("e"), "frame")).alias("b"))
     return n.join(best, run).select(run, "n", F.when((F.col("n") >= 3) & (F.col("b.e") <= most), F.col("b.frame")).otherwise(F.col("n")).alias("cut"), F.col("b.e").alias("err"))
+
+
+def dedup_frames(px: DataFrame, threshold: float, by: str = "run_id", matte: bool = True) -> DataFrame:
+    """(by, frame, duration): frames that differ by more than the threshold from the last kept one, and how many frames each stands for.
+
+    The difference is that of ``frame_pair_error``. Each frame is compared with one that depends on
+    all before it, so a clip is one group: its frames are read in order, two at a time.
+    """
+    cols = [*RGB, *(["a"] if matte else [])]
+    src = px.select(F.col(by).cast("long").alias(by), *[F.col(c).cast("long").alias(c) for c in ("frame", "y", "x")], *[F.col(c).cast("double").alias(c) for c in cols])
+
+    def run(clip: pa.Table) -> pa.Table:
+        clip = clip.sort_by([("frame", "ascending"), ("y", "ascending"), ("x", "ascending")])
+        number, first = np.unique(clip["frame"].to_numpy(), return_index=True)
+        values = np.column_stack([clip[c].to_numpy() for c in cols])
+        frames = np.split(values, first[1:])
+        kept = [0]
+        for i in range(1, len(frames)):
+            p, q = frames[i], frames[kept[-1]]
+            if matte:
+                step = np.abs(p[:, :3] * p[:, 3:] - q[:, :3] * q[:, 3:]).sum(1) / 765.0 + np.abs(p[:, 3] - q[:, 3])
+                seen = (p[:, 3] > 0.5) | (q[:, 3] > 0.5)
+                error = step[seen].mean() / 2 if seen.any() else 0.0
+            else:
+                error = np.abs(p - q).mean() / 255.0
+            if error > threshold:
+                kept.append(i)
+        stands = np.diff([*kept, len(frames)])
+        return pa.table([pa.array([clip[by][0].as_py()] * len(kept), pa.int64()), pa.array(number[kept]), pa.array(stands, pa.int64())], [by, "frame", "duration"])
+
+    return src.groupBy(by).applyInArrow(run, f"{by} long, frame long, duration long")

@@ -215,14 +215,14 @@ def _(s, d):
     return P.merge_near(palette(s), ["palette"]).select("palette", "k", *RGB)
 
 
-@query("demuddy_core", f"""WITH {PX}, {pal('PICO-8')}, px1 AS (SELECT * FROM px WHERE run_id = 0), d AS (SELECT {K}, r, g, b, k, pr, pg, pb, {redmean2(C3, P3)} AS d FROM px1 CROSS JOIN pal),
-w AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY d, k) AS n FROM d), o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, {K}, r, g, b) AS rk, count(*) OVER (PARTITION BY k) AS sz FROM w WHERE n = 1),
-c AS (SELECT *, greatest(r, g, b) - least(r, g, b) AS ch FROM o WHERE rk <= greatest(1, least(150, floor(sz * CAST(0.4 AS DOUBLE))))), m AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ch DESC, rk) AS t FROM c)
-SELECT pal.k, CAST(CASE WHEN m.ch > 20 AND m.ch > greatest(pal.pr, pal.pg, pal.pb) - least(pal.pr, pal.pg, pal.pb) THEN round_even(pal.pr * 0.25 + m.r * 0.75, 0) ELSE pal.pr END AS BIGINT) AS r,
+@query("demuddy_core", f"""WITH {PX}, {pal('PICO-8')}, rn AS (SELECT DISTINCT run_id FROM px), d AS (SELECT {K}, r, g, b, k, pr, pg, pb, {redmean2(C3, P3)} AS d FROM px CROSS JOIN pal),
+w AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY d, k) AS n FROM d), o AS (SELECT *, row_number() OVER (PARTITION BY run_id, k ORDER BY d, {K}, r, g, b) AS rk, count(*) OVER (PARTITION BY run_id, k) AS sz FROM w WHERE n = 1),
+c AS (SELECT *, greatest(r, g, b) - least(r, g, b) AS ch FROM o WHERE rk <= greatest(1, least(150, floor(sz * CAST(0.4 AS DOUBLE))))), m AS (SELECT *, row_number() OVER (PARTITION BY run_id, k ORDER BY ch DESC, rk) AS t FROM c)
+SELECT rn.run_id, pal.k, CAST(CASE WHEN m.ch > 20 AND m.ch > greatest(pal.pr, pal.pg, pal.pb) - least(pal.pr, pal.pg, pal.pb) THEN round_even(pal.pr * 0.25 + m.r * 0.75, 0) ELSE pal.pr END AS BIGINT) AS r,
  CAST(CASE WHEN m.ch > 20 AND m.ch > greatest(pal.pr, pal.pg, pal.pb) - least(pal.pr, pal.pg, pal.pb) THEN round_even(pal.pg * 0.25 + m.g * 0.75, 0) ELSE pal.pg END AS BIGINT) AS g,
- CAST(CASE WHEN m.ch > 20 AND m.ch > greatest(pal.pr, pal.pg, pal.pb) - least(pal.pr, pal.pg, pal.pb) THEN round_even(pal.pb * 0.25 + m.b * 0.75, 0) ELSE pal.pb END AS BIGINT) AS b FROM pal LEFT JOIN m ON m.k = pal.k AND m.t = 1""")
+ CAST(CASE WHEN m.ch > 20 AND m.ch > greatest(pal.pr, pal.pg, pal.pb) - least(pal.pr, pal.pg, pal.pb) THEN round_even(pal.pb * 0.25 + m.b * 0.75, 0) ELSE pal.pb END AS BIGINT) AS b FROM rn CROSS JOIN pal LEFT JOIN m ON m.run_id = rn.run_id AND m.k = pal.k AND m.t = 1""")
 def _(s, d):
-    return P.pull_to_core(px(s, d).where("run_id = 0"), p8(s))
+    return P.pull_to_core(px(s, d), p8(s), ["run_id"])
 
 
 def _ramp_sql() -> str:

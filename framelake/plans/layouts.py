@@ -63,10 +63,10 @@ def _(s, d):
     return L.proportional_padding(boxes.withColumns({c: F.col(c) * 8 for c in L.BOX}))
 
 
-@query("occupancy_audit", f"WITH {PX}, bx AS ({_bb('run_id, frame')}) SELECT frame AS run_id, round((x1 - x0) / CAST(8 AS DOUBLE), 6) AS share_w, round((y1 - y0) / CAST(8 AS DOUBLE), 6) AS share_h, CASE WHEN (x1 - x0) / CAST(8 AS DOUBLE) > 0.92 OR (y1 - y0) / CAST(8 AS DOUBLE) > 0.92 THEN 'fills' WHEN (x1 - x0) / CAST(8 AS DOUBLE) < 0.4 AND (y1 - y0) / CAST(8 AS DOUBLE) < 0.4 THEN 'tiny' ELSE 'fits' END AS verdict FROM bx WHERE run_id = 0")
+@query("occupancy_audit", f"WITH {PX}, bx AS ({_bb('run_id, frame')}) SELECT run_id * 20 + frame AS run_id, round((x1 - x0) / CAST(8 AS DOUBLE), 6) AS share_w, round((y1 - y0) / CAST(8 AS DOUBLE), 6) AS share_h, CASE WHEN (x1 - x0) / CAST(8 AS DOUBLE) > 0.92 OR (y1 - y0) / CAST(8 AS DOUBLE) > 0.92 THEN 'fills' WHEN (x1 - x0) / CAST(8 AS DOUBLE) < 0.4 AND (y1 - y0) / CAST(8 AS DOUBLE) < 0.4 THEN 'tiny' ELSE 'fits' END AS verdict FROM bx")
 def _(s, d):
-    # each frame of run 0 counts as a run
-    return L.occupancy(L.bbox(px(s, d).where("run_id = 0"), F.col("r") > 165, H, W).withColumn("run_id", F.col("frame")), H, W)
+    # each frame counts as a run
+    return L.occupancy(L.bbox(px(s, d), F.col("r") > 165, H, W).withColumn("run_id", F.col("run_id") * 20 + F.col("frame")), H, W)
 
 
 @query("outlier_frames", f"WITH {PX}, s AS (SELECT run_id, frame, avg(CASE WHEN r > 140 THEN 1 ELSE 0 END) AS o FROM px GROUP BY 1, 2), m AS (SELECT run_id, median(o) AS m FROM s GROUP BY 1) SELECT run_id, frame, round(o, 6) AS opaque, round(m, 6) AS typical, m < 0.45 AND o > 0.45 AND o > greatest(2 * m, m + 0.3) AS bad FROM s JOIN m USING (run_id)")
@@ -125,21 +125,21 @@ def _(s, d):
     return TL.asof_backward(ticks, rows, "key", "tick", "value")
 
 
-_KEYF = "e AS (SELECT event_type AS layer, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events), k AS (SELECT layer, i * 7 + 3 AS frame, value AS x, value / 2 AS y, 1 + value / 1000 AS scale FROM e WHERE i < 8)"
+_KEYF = "e AS (SELECT event_type || '/' || CAST(user_id AS VARCHAR) AS layer, value, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) - 1 AS i FROM events), k AS (SELECT layer, i * 7 + 3 AS frame, value AS x, value / 2 AS y, 1 + value / 1000 AS scale FROM e)"
 
 
-@query("keyframe_interp", f"""WITH {_KEYF}, f AS (SELECT layer, unnest(range(70)) AS frame FROM (SELECT DISTINCT layer FROM k)), j AS (SELECT f.layer, f.frame, p.frame AS pf, p.x AS px, p.y AS py, p.scale AS ps, n.frame AS nf, n.x AS nx, n.y AS ny, n.scale AS ns FROM f ASOF LEFT JOIN k p ON f.layer = p.layer AND f.frame >= p.frame ASOF LEFT JOIN k n ON f.layer = n.layer AND f.frame < n.frame),
+@query("keyframe_interp", f"""WITH {_KEYF}, f AS (SELECT layer, unnest(range(top + 11)) AS frame FROM (SELECT layer, max(frame) AS top FROM k GROUP BY 1)), j AS (SELECT f.layer, f.frame, p.frame AS pf, p.x AS px, p.y AS py, p.scale AS ps, n.frame AS nf, n.x AS nx, n.y AS ny, n.scale AS ns FROM f ASOF LEFT JOIN k p ON f.layer = p.layer AND f.frame >= p.frame ASOF LEFT JOIN k n ON f.layer = n.layer AND f.frame < n.frame),
 w AS (SELECT *, CAST(frame - pf AS DOUBLE) / (nf - pf) AS t, pf IS NULL OR pf = 3 AND frame = 3 AS lo, nf IS NULL AS hi FROM j) SELECT layer, frame, round(CASE WHEN pf IS NULL THEN nx WHEN lo OR hi THEN px ELSE 10 + px + (nx - px) * t END, 6) AS x, round(CASE WHEN pf IS NULL THEN ny WHEN lo OR hi THEN py ELSE 20 + py + (ny - py) * t END, 6) AS y, round(CASE WHEN pf IS NULL THEN ns WHEN lo OR hi THEN ps ELSE 2 * (ps + (ns - ps) * t) END, 6) AS scale FROM w""")
 def _(s, d):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    e = table(s, d, "events").withColumn("i", F.row_number().over(w) - 1).where("i < 8")
+    w = Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id")
+    e = table(s, d, "events").withColumn("i", F.row_number().over(w) - 1)
     v = F.col("value")
-    keys = e.select(F.col("event_type").alias("layer"), (F.col("i") * 7 + 3).alias("frame"), v.alias("x"), (v / 2).alias("y"), (1 + v / 1000).alias("scale"))
-    frames = keys.select("layer").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(69))))
+    keys = e.select(F.concat_ws("/", "event_type", "user_id").alias("layer"), (F.col("i") * 7 + 3).alias("frame"), v.alias("x"), (v / 2).alias("y"), (1 + v / 1000).alias("scale"))
+    frames = keys.groupBy("layer").agg(F.max("frame").alias("top")).select("layer", F.explode(F.sequence(F.lit(0), F.col("top") + 10)).alias("frame"))
     return TL.interpolate(frames, keys, "layer", (10.0, 20.0, 2.0))
 
 
-_LAYERS = "ly AS (SELECT n_nationkey AS pos, n_regionkey, (n_nationkey + 5) / CAST(40 AS DOUBLE) AS opacity, CASE n_nationkey % 4 WHEN 0 THEN 'normal' WHEN 1 THEN 'multiply' WHEN 2 THEN 'screen' ELSE 'overlay' END AS mode, n_nationkey % 7 <> 3 AS visible FROM nation WHERE n_nationkey < 8)"
+_LAYERS = "ly AS (SELECT n_nationkey AS pos, n_regionkey, (n_nationkey + 5) / CAST(40 AS DOUBLE) AS opacity, CASE n_nationkey % 4 WHEN 0 THEN 'normal' WHEN 1 THEN 'multiply' WHEN 2 THEN 'screen' ELSE 'overlay' END AS mode, n_nationkey % 7 <> 3 AS visible FROM nation)"
 
 
 @query("layer_composite", f"""WITH RECURSIVE {PX}, {_LAYERS}, v AS (SELECT *, row_number() OVER (ORDER BY pos) AS i FROM ly WHERE visible),
@@ -150,7 +150,7 @@ FROM f JOIN c ON c.run_id = f.run_id AND c.y = f.y AND c.x = f.x AND c.i = f.i +
 def _(s, d):
     k = F.col("n_nationkey")
     mode = F.when(k % 4 == 0, "normal").when(k % 4 == 1, "multiply").when(k % 4 == 2, "screen").otherwise("overlay")
-    layers = table(s, d, "nation").where("n_nationkey < 8").select(k.alias("pos"), ((k + 5) / 40.0).alias("opacity"), mode.alias("mode"), (k % 7 != 3).alias("visible"))
+    layers = table(s, d, "nation").select(k.alias("pos"), ((k + 5) / 40.0).alias("opacity"), mode.alias("mode"), (k % 7 != 3).alias("visible"))
     cels = px(s, d, alpha=True).withColumnRenamed("frame", "pos").join(F.broadcast(layers), "pos")
     return TL.composite(cels.withColumns({c: F.col(c) / 255.0 for c in RGB}), ["run_id", "y", "x"])
 

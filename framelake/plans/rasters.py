@@ -77,16 +77,16 @@ def _(s, d):
     return R.choose_reference_block(R.block_mismatch(px(s, d).withColumn("l", F.floor(F.col("r") / 86)), "l", [2, 3, 4], H, W), 0.3)
 
 
-@query("payload_groups", "SELECT event_type AS stage, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS ids FROM events WHERE user_id % 10 = 3 GROUP BY 1")
+@query("payload_groups", "SELECT event_type || '/' || CAST(user_id AS VARCHAR) AS stage, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS ids FROM events GROUP BY 1")
 def _(s, d):
-    rows = table(s, d, "events").where("user_id % 10 = 3")
-    lists = rows.groupBy(F.col("event_type").alias("stage")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id"))).alias("l"))
+    stage = F.concat_ws("/", "event_type", "user_id").alias("stage")
+    lists = table(s, d, "events").groupBy(stage).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id"))).alias("l"))
     return lists.select("stage", F.size("l").alias("n"), F.array_join(F.transform("l", lambda e: e["event_id"].cast("string")), ",").alias("ids"))
 
 
 @query("gaussian_feather")
 def _(s, d):
-    return R.gaussian(px(s, d), 1.0, H, W)
+    return R.feather(px(s, d, alpha=True), 0.1, H, W)
 
 
 @query("bilateral_flatten")
@@ -123,5 +123,5 @@ def _(s, d):
 
 @query("subject_rescue")
 def _(s, d):
-    p = px(s, d, alpha=True).withColumn("bg", F.col("r") < 215)
-    return R.rescue_subject(p, "bg", H, W, 0.9, 0.08).select(*KEY, "bg")
+    p = px(s, d, alpha=True).withColumns({"bg": F.col("r") < 215, "strict": F.col("r") < 120})
+    return R.rescue_subject(p, "bg", "strict", H, W, 0.9, 0.08).select(*KEY, "bg", "saved")

@@ -147,6 +147,7 @@ def _(s, d):
     return T.band_hysteresis(series(s, d).withColumn("v", F.col("value") / 250), "v", 3, 0.6, 1.2, 0.1, [0.6, 1.2], ["key"], "pos")
 
 
+DEDUP_AT = 0.42
 _DEDUP = f"""WITH RECURSIVE {SERIES}, f AS (SELECT key, pos, value, value AS anchor, true AS kept FROM series WHERE pos = 0 UNION ALL SELECT s.key, s.pos, s.value, CASE WHEN abs(s.value - f.anchor) > 150 THEN s.value ELSE f.anchor END, abs(s.value - f.anchor) > 150 FROM f JOIN series s ON s.key = f.key AND s.pos = f.pos + 1),
 n AS (SELECT key, count(*) AS n FROM series GROUP BY 1), o AS (SELECT key, pos, value, coalesce(lead(pos) OVER (PARTITION BY key ORDER BY pos), n) - pos AS duration FROM f JOIN n USING (key) WHERE kept)"""
 
@@ -163,6 +164,16 @@ def _(s, d):
     return rows.groupBy("key").agg(F.count(F.lit(1)).alias("kept"), F.sum("duration").alias("total"), F.max(ms).alias("longest_ms"))
 
 
+_ERR = "coalesce(avg(CASE WHEN p.a > 0.5 OR q.a > 0.5 THEN (abs(p.r * p.a - q.r * q.a) + abs(p.g * p.a - q.g * q.a) + abs(p.b * p.a - q.b * q.a)) / CAST(765 AS DOUBLE) + abs(p.a - q.a) END) / 2, 0)"
+
+
+@query("frame_dedup_pixels", f"""WITH RECURSIVE {PX}, e AS (SELECT p.run_id, p.frame AS fa, q.frame AS fb, {_ERR} AS err FROM px p JOIN px q ON p.run_id = q.run_id AND p.y = q.y AND p.x = q.x AND q.frame > p.frame GROUP BY 1, 2, 3), m AS (SELECT run_id, count(DISTINCT frame) AS n FROM px GROUP BY 1),
+f AS (SELECT run_id, CAST(0 AS BIGINT) AS frame, CAST(0 AS BIGINT) AS anchor, true AS kept FROM m UNION ALL SELECT f.run_id, e.fb, CASE WHEN e.err > {DEDUP_AT} THEN e.fb ELSE f.anchor END, e.err > {DEDUP_AT} FROM f JOIN e ON e.run_id = f.run_id AND e.fa = f.anchor AND e.fb = f.frame + 1)
+SELECT run_id, frame, coalesce(lead(frame) OVER (PARTITION BY run_id ORDER BY frame), n) - frame AS duration FROM f JOIN m USING (run_id) WHERE kept""")
+def _(s, d):
+    return T.dedup_frames(px(s, d, alpha=True), DEDUP_AT)
+
+
 @query("frame_error", f"WITH {PX} SELECT p.run_id, p.frame, round(coalesce(avg(CASE WHEN p.a > 0.5 OR q.a > 0.5 THEN (abs(p.r * p.a - q.r * q.a) + abs(p.g * p.a - q.g * q.a) + abs(p.b * p.a - q.b * q.a)) / CAST(765 AS DOUBLE) + abs(p.a - q.a) END) / 2, 0), 6) AS err FROM px p JOIN px q ON p.run_id = q.run_id AND p.y = q.y AND p.x = q.x AND q.frame = p.frame + 1 GROUP BY 1, 2")
 def _(s, d):
     p = px(s, d, alpha=True)

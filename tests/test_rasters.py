@@ -36,24 +36,60 @@ def test_gaussian(clip):
     assert np.allclose(got[f, y, x], want)
 
 
-def test_bilateral_keeps_flat_areas_and_edges(spark):
-    rows = [(0, 0, y, x, *([200, 200, 200] if x >= 4 else [10 + (y + x) % 2] * 3)) for y in range(8) for x in range(8)]
-    p = spark.createDataFrame(rows, "run_id int, frame int, y int, x int, r int, g int, b int")
-    got = array(R.bilateral(p, 1.0, 1, H, W), n=1)[0]
-    assert got[:, :4].std() < 0.3 and np.allclose(got[:, 4:], 200, atol=0.01)
+def flip(i, n):
+    """Place i of n, mirrored about the border pixel."""
+    return -i if i < 0 else 2 * (n - 1) - i if i >= n else i
 
 
-def test_unsharp_leaves_flat_frames(spark):
-    p = spark.createDataFrame([(0, 0, y, x, 7, 8, 9) for y in range(8) for x in range(8)], "run_id int, frame int, y int, x int, r int, g int, b int")
-    assert np.allclose(array(R.unsharp(p, 0.6, H, W), n=1)[0], [7, 8, 9])
+def test_feather_against_loops(clip):
+    src, got = array(clip, ("a",))[..., 0], array(R.feather(clip, 0.1, H, W), ("a",))[..., 0]
+    sigma = 0.8
+    reach = int(4 * sigma + 0.5)
+    g = [np.exp(-(t * t) / (2 * sigma * sigma)) for t in range(-reach, reach + 1)]
+    at = lambda i, n: -1 - i if i < 0 else 2 * n - 1 - i if i >= n else i
+    for f, y, x in ((0, 0, 0), (3, 7, 2), (5, 4, 4), (9, 1, 7)):
+        total = sum(g[dy + reach] * g[dx + reach] * src[f, at(y + dy, H), at(x + dx, W)] for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1))
+        assert np.isclose(got[f, y, x], total / sum(g) ** 2)
 
 
-def test_floyd_steinberg_keeps_the_mean(spark):
-    p = spark.createDataFrame([(0, 0, y, x, 128, 128, 128) for y in range(8) for x in range(8)], "run_id int, frame int, y int, x int, r int, g int, b int")
-    k = [r.k for r in R.floyd_steinberg(p, colours("1-BIT"), H, W).collect()]
-    assert 26 <= sum(k) <= 38
-    exact = [r.k for r in R.floyd_steinberg(p.withColumns({c: F.lit(255) for c in "rgb"}), colours("1-BIT"), H, W).collect()]
-    assert set(exact) == {1}
+def test_bilateral_against_loops(clip):
+    src, got = array(clip), array(R.bilateral(clip, 1.0, 1, H, W))
+    for f in (0, 7):
+        for y in range(H):
+            for x in range(W):
+                total, weight = np.zeros(3), 0.0
+                for dy in range(-4, 5):
+                    for dx in range(-4, 5):
+                        if dy * dy + dx * dx <= 16:
+                            near = src[f, flip(y + dy, H), flip(x + dx, W)]
+                            gap = abs(near - src[f, y, x]).sum()
+                            w = np.exp(-(dy * dy + dx * dx) / 162 - gap * gap / (2 * 30.0**2))
+                            total, weight = total + w * near, weight + w
+                assert (abs(got[f, y, x] - total / weight) <= 0.5 + 1e-9).all() and (got[f, y, x] % 1 == 0).all()
+
+
+def test_unsharp_against_loops(clip):
+    src, blur, got = array(clip), array(R.gaussian(clip, 2.0, H, W)), array(R.unsharp(clip, 0.55, H, W))
+    for f, y, x, c in np.ndindex(2, H, W, 3):
+        gap = src[f, y, x, c] - blur[f, y, x, c]
+        want = min(255, max(0, src[f, y, x, c] + 0.82 * gap)) if abs(gap) > 2 else src[f, y, x, c]
+        assert np.isclose(got[f, y, x, c], want)
+
+
+def test_floyd_steinberg_against_loops(clip):
+    pal = colours("PICO-8")
+    src, got = array(clip), array(R.floyd_steinberg(clip, pal, H, W), ("k",))[..., 0]
+    for f in (0, 11):
+        debt = {}
+        for y in range(H):
+            for x in range(W):
+                c = [min(255.0, max(0.0, src[f, y, x, i] + debt.get((y, x), [0, 0, 0])[i])) for i in range(3)]
+                far = [sum((c[i] - p[i]) ** 2 for i in range(3)) for p in pal]
+                k = far.index(min(far))
+                assert got[f, y, x] == k
+                for dy, dx, part in ((0, 1, 7), (1, -1, 3), (1, 0, 5), (1, 1, 1)):
+                    old = debt.get((y + dy, x + dx), [0, 0, 0])
+                    debt[y + dy, x + dx] = [old[i] + (c[i] - pal[k][i]) * part / 16 for i in range(3)]
 
 
 def test_median_cut(spark, clip):
@@ -72,11 +108,60 @@ def test_shared_palette(clip):
     assert not R.shared_palette(clip, 16).first().exact and R.shared_palette(clip, 16).count() == 16
 
 
-def test_rescue(spark):
-    rows = [(0, 0, y, x, not (y == 3 and x == 3)) for y in range(8) for x in range(8)]
-    p = spark.createDataFrame(rows, "run_id int, frame int, y int, x int, bg boolean")
-    assert R.rescue_subject(p, "bg", H, W).where("NOT bg").count() == 1
-    assert R.rescue_subject(p.withColumn("bg", F.lit(True)), "bg", H, W).where("NOT bg").count() == 0
+def spread_from(start, free, steps):
+    """All places of ``free`` that are reached from ``start`` by the given steps."""
+    seen, todo = set(start) & free, list(set(start) & free)
+    while todo:
+        y, x = todo.pop()
+        new = {(y + dy, x + dx) for dy, dx in steps} & free - seen
+        seen |= new
+        todo += new
+    return seen
+
+
+def plain_rescue(bg, strict):
+    """Hull of the largest part that the strict flood leaves, closed twice, filled; True where background stays."""
+    cross = [(0, 1), (1, 0), (0, -1), (-1, 0)]
+    eight = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+    every = {(y, x) for y in range(H) for x in range(W)}
+    border = {(y, x) for y, x in every if y in (0, H - 1) or x in (0, W - 1)}
+    rest, parts = every - spread_from(border, {p for p in every if strict[p]}, eight), []
+    while rest:
+        first = min(rest)
+        parts.append(spread_from([first], rest, eight))
+        rest = rest - parts[-1]
+    hull = max(parts, key=len) if parts else set()
+    for _ in range(2):
+        hull = {(y, x) for y, x in every if any((y + dy, x + dx) in hull for dy, dx in [(0, 0), *eight])}
+    for _ in range(2):
+        hull = {(y, x) for y, x in every if all((y + dy, x + dx) in hull for dy, dx in [(0, 0), *eight])}
+    hull = every - spread_from(border, every - hull, cross)
+    return np.array([[bool(bg[y, x]) and (y, x) not in hull for x in range(W)] for y in range(H)])
+
+
+def test_rescue_against_loops(spark):
+    rng = np.random.default_rng(2)
+    rows, want = [], []
+    for f in range(30):
+        bg, strict = np.ones((H, W), bool), np.ones((H, W), bool)
+        y, x, h, w = rng.integers(1, 3), rng.integers(1, 3), rng.integers(2, 6), rng.integers(2, 6)
+        strict[y : y + h, x : x + w] = rng.random((min(h, H - y), min(w, W - x))) < 0.35  # an outline with gaps
+        if f % 3 == 0:
+            bg[4, 4] = False
+        if f % 5 == 4:
+            bg[:3] = False  # a subject is left: nothing to rescue
+        rows += [(0, f, y, x, bool(bg[y, x]), bool(strict[y, x])) for y in range(H) for x in range(W)]
+        want.append(plain_rescue(bg, strict) if bg.mean() >= 0.85 else bg)
+    p = spark.createDataFrame(rows, "run_id int, frame int, y int, x int, bg boolean, strict boolean")
+    got = array(R.rescue_subject(p, "bg", "strict", H, W), ("bg",), 30)[..., 0].astype(bool)
+    assert all((got[f] == want[f]).all() for f in range(30)) and any((want[f] != True).sum() > 4 for f in range(30))  # noqa: E712
+
+
+def test_nearest_opaque_against_loops(clip):
+    src, a, got = array(clip), array(clip, ("a",))[..., 0], array(R.nearest_opaque(clip, H, W))
+    for f, y, x in np.ndindex(4, H, W):
+        near = min((((v - y) ** 2 + (u - x) ** 2, v, u) for v in range(H) for u in range(W) if a[f, v, u] > 0.5), default=(0, y, x))
+        assert (got[f, y, x] == src[f, near[1], near[2]]).all()
 
 
 def plain_movelock(src, out, alpha, thr):
