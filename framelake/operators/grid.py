@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framelake.functions import color as C
+from framelake.operators.palette import with_nearest
 
 RGB = ("r", "g", "b")
 FRAME = ("run_id", "frame")
@@ -156,3 +157,41 @@ def within_cell_std(px: DataFrame, pitch: float, ox: float = 0.0, oy: float = 0.
     part = cells.groupBy(*FRAME, "cy", "cx").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("v")).alias("wv"), F.sum(F.col("w") * F.col("v") * F.col("v")).alias("wvv"))
     spread = F.greatest(F.col("wvv") - F.col("wv") * F.col("wv") / F.col("w"), F.lit(0.0))
     return part.where("w > 0").groupBy(*FRAME).agg(F.sqrt(F.sum(spread) / F.sum("w")).alias("std"))
+
+
+def pitch_scan(peaks: DataFrame, by: list[str], pitches: list[float], tolerance: float = 1.2, phases: int = 160) -> DataFrame:
+    """(by, pitch, recall, excess): for each pitch the best phase's share of edge energy, and how far it is over chance."""
+    lits = F.array(*[F.lit(float(p)) for p in pitches])
+    rows = peaks.select(*by, "at", "energy", F.explode(lits).alias("pitch")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(phases - 1))))
+    p, o = F.col("pitch"), F.col("i") * (F.col("pitch") / phases)
+    on = F.abs(F.col("at") - (o + F.rint((F.col("at") - o) / p) * p)) <= tolerance
+    got = rows.groupBy(*by, "pitch", "i").agg((F.sum(F.when(on, F.col("energy")).otherwise(0.0)) / F.sum("energy")).alias("r"))
+    chance = F.least(F.lit(1.0), 2 * tolerance / p)
+    return got.groupBy(*by, "pitch").agg(F.max(F.round("r", 9)).alias("recall")).withColumn("excess", F.col("recall") - chance)
+
+
+def choose_pitch(scores: DataFrame, by: list[str], pool: float = 0.98) -> DataFrame:
+    """(by, pitch, recall, excess): of the pitches within ``pool`` of the best excess the largest; those without recall don't count."""
+    rows = scores.where(F.col("recall") > 0).withColumn("best", F.max("excess").over(Window.partitionBy(*by)))
+    near = rows.where(F.col("excess") >= pool * F.col("best"))
+    pick = near.groupBy(*by).agg(F.max(F.struct("pitch", "recall", "excess")).alias("p"))
+    return pick.select(*by, "p.*")
+
+
+def extreme_support(px: DataFrame, cells: DataFrame, palette: DataFrame, s: int, height: int, width: int, reach: float = 12.0, share: float = 0.1, least: int = 3, gap: float = 40.0) -> DataFrame:
+    """``cells`` (frame, cy, cx, r, g, b) with the label ``k`` of the lightest family of a palette that takes over the cell, or null.
+
+    It needs ``least`` opaque pixels and a ``share`` of the cell's, and the cell must be darker than the lightest entry by
+    ``gap``. Labels are counted a cell; of equally frequent ones the first.
+    """
+    by = [*FRAME, "cy", "cx"]
+    lum = C.luminance([F.col(c) for c in RGB])
+    top = palette.agg(F.max(lum)).first()[0]  # one number
+    light = [r[0] for r in palette.where(lum >= top - reach).select("k").orderBy("k").collect()]  # at most the palette's entries
+    labels = with_nearest(whole_cells(px.where("a > 0.5"), s, height, width), palette, "redmean")
+    counts = labels.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.when(F.col("k").isin(light), F.struct((-F.col("n")).alias("o"), "k")))
+    votes = counts.groupBy(*by).agg(F.sum("n").alias("total"), best.alias("best"))
+    enough = -F.col("best.o") >= F.greatest(F.lit(float(least)), share * F.col("total"))
+    rows = cells.join(votes, by, "left")
+    return rows.select(*cells.columns, F.when(enough & (lum <= top - gap), F.col("best.k")).alias("k"))

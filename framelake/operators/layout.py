@@ -135,3 +135,49 @@ def band_remap(px: DataFrame, bounds: DataFrame, by: str = "run_id") -> DataFram
     lists = bounds.groupBy(by).agg(F.collect_list("bound").alias("_q"))
     lum = C.luminance([F.col(c) for c in RGB])
     return px.join(F.broadcast(lists), by).withColumn("_l", lum).withColumn("band", F.size(F.filter("_q", lambda b: b < F.col("_l")))).drop("_q", "_l")
+
+
+def clamped_masks(px: DataFrame, masks: DataFrame, height: int, width: int, mask_height: int, mask_width: int) -> DataFrame:
+    """``px`` with the matte ``a`` of a mask stack (run, frame, y, x, a): frames past the last mask take the last one; other sizes are sampled at pixel centres.
+
+    An equi-join on the clamped frame: the stack's length is one small row a run.
+    """
+    last = masks.groupBy("run_id").agg(F.max("frame").alias("_last"))
+    at = lambda c, have, want: F.floor((F.col(c) + 0.5) * have / want).cast("int").alias(f"_{c}")
+    rows = px.join(last, "run_id").select("*", F.least("frame", "_last").alias("_frame"), at("y", mask_height, height), at("x", mask_width, width))
+    src = masks.select("run_id", F.col("frame").alias("_frame"), F.col("y").alias("_y"), F.col("x").alias("_x"), "a")
+    return rows.join(src, ["run_id", "_frame", "_y", "_x"]).select(*px.columns, "a")
+
+
+def character_scale(px: DataFrame, reference_height: int, least_pixels: int = 100, least: int = 3, most: int = 24) -> DataFrame:
+    """(run, block): the median over frames of the opaque height over the reference's, rounded half to even and clamped; null where no frame has enough opaque pixels."""
+    solid = F.col("a") > 0.5
+    y = F.when(solid, F.col("y"))
+    frames = px.groupBy(*FRAME).agg(F.count(y).alias("n"), (F.max(y) - F.min(y) + 1).alias("h"))
+    ratio = F.when(F.col("n") >= least_pixels, F.col("h") / F.lit(float(reference_height)))
+    block = F.rint(F.median(ratio))
+    return frames.groupBy("run_id").agg(F.when(block.isNotNull(), F.greatest(F.lit(least), F.least(F.lit(most), block))).cast("int").alias("block"))
+
+
+def fit_reference(px: DataFrame, height: int, width: int, out_height: int, out_width: int, background: tuple[int, int, int], dx: int = 0, dy: int = 0) -> DataFrame:
+    """Each frame's opaque part, flattened on a colour, enlarged a whole number of times (or shrunk to fit) without blending, and centred on a canvas.
+
+    dx and dy move it, in pixels of the source. The canvas is spread from one box row a frame and joined to the pixels it shows.
+    """
+    boxes = bbox(px, F.col("a") > 0, height, width)
+    bw, bh = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    k = F.least(F.floor(out_width / bw), F.floor(out_height / bh))
+    s = F.when(k >= 1, k.cast("double")).otherwise(F.least(out_width / bw, out_height / bh))
+    boxes = boxes.withColumns({"s": s, "nw": F.greatest(F.lit(1), F.rint(bw * s)), "nh": F.greatest(F.lit(1), F.rint(bh * s))})
+    origin = lambda side, n, off: F.floor((side - F.col(n)) / 2) + F.rint(off * F.col("s"))
+    boxes = boxes.withColumns({"ox": origin(out_width, "nw", dx), "oy": origin(out_height, "nh", dy)})
+    cells = boxes.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(out_height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(out_width - 1))))
+
+    def source(c: str, n: str, lo: str, hi: str, o: str) -> Column:
+        t = F.col(c) - F.col(o)
+        return F.when((t >= 0) & (t < F.col(n)), F.col(lo) + F.floor((t + 0.5) * (F.col(hi) - F.col(lo)) / F.col(n))).cast("int")
+
+    cells = cells.select(*FRAME, "y", "x", source("y", "nh", "y0", "y1", "oy").alias("_y"), source("x", "nw", "x0", "x1", "ox").alias("_x"))
+    src = px.select(*FRAME, F.col("y").alias("_y"), F.col("x").alias("_x"), "a", *RGB)
+    mix = lambda c, v: F.coalesce(F.rint(F.col("a") * F.col(c) + (1 - F.col("a")) * v), F.lit(v)).cast("int").alias(c)
+    return cells.join(src, [*FRAME, "_y", "_x"], "left").select(*FRAME, "y", "x", *[mix(c, v) for c, v in zip(RGB, background, strict=True)])

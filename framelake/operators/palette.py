@@ -176,3 +176,18 @@ def kmeans(px: DataFrame, seeds: DataFrame, iterations: int = 3) -> DataFrame:
         mean = near.groupBy("k").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"m{c}") for c in RGB])
         centres = centres.join(mean, "k", "left").select("k", *[F.coalesce(f"m{c}", c).alias(c) for c in RGB])
     return centres
+
+
+def concat(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(k, r, g, b): the second palette's entries after the first's, numbered on."""
+    n = first.agg(F.coalesce(F.max("k") + 1, F.lit(0))).first()[0]  # one number
+    after = second.select((F.col("k") + n).alias("k"), *RGB)
+    return first.select("k", *RGB).unionByName(after)
+
+
+def with_outlines(ramp: DataFrame, bands: int, share: float = 0.55) -> DataFrame:
+    """(k, r, g, b in whole bytes): a ramp (k, band, r, g, b), colour by colour, and then one outline a colour, deeper than its darkest band."""
+    byte = lambda c: F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(255.0))).cast("int")
+    shades = ramp.select((F.col("k") * bands + F.col("band")).alias("k"), *[byte(F.col(c)).alias(c) for c in RGB])
+    lines = ramp.where("band = 0").select("k", *[byte(F.col(c) * share).alias(c) for c in RGB])
+    return concat(shades, lines)

@@ -166,35 +166,59 @@ def floyd_steinberg(px: DataFrame, colours: list[tuple[int, int, int]], height:
     return per_frame(px, height, width, work, ("k",), "long")
 
 
-def nearest_opaque(px: DataFrame, height: int, width: int) -> DataFrame:
-    """Transparent pixels take the colour of the nearest opaque one of their frame; the first in reading order of equally near ones.
+def _nearest(solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the nearest set pixel of each place (one is set); the first in reading order of equally near ones.
 
-    Two passes: the nearest opaque pixel of the same row for each place, then the best of all rows.
+    Two passes: the nearest set pixel of the same row for each place, then the best of all rows.
     """
+    height, width = solid.shape
     far = 4 * (height + width) ** 2
+    xs = np.arange(width)
+    left = np.maximum.accumulate(np.where(solid, xs, -far), axis=1)
+    right = np.minimum.accumulate(np.where(solid, xs, far)[:, ::-1], axis=1)[:, ::-1]
+    spot = np.where(xs - left <= right - xs, left, right)  # of equally near ones the left
+    across = np.minimum((spot - xs) ** 2, far)
+    ys = np.arange(height)
+    best, row = np.full((height, width), 2 * far), np.zeros((height, width), np.int64)
+    for y in range(height):  # rows in order: only a nearer one replaces an earlier one
+        d = (ys[:, None] - y) ** 2 + across[y][None]
+        nearer = d < best
+        best, row = np.where(nearer, d, best), np.where(nearer, y, row)
+    return row, np.clip(spot[row, xs[None]], 0, width - 1)
+
+
+def nearest_opaque(px: DataFrame, height: int, width: int) -> DataFrame:
+    """Transparent pixels take the colour of the nearest opaque one of their frame; the first in reading order of equally near ones."""
 
     def work(frame: np.ndarray) -> np.ndarray:
         solid = frame[:, :, 3] > 0.5
         if not solid.any():
             return frame[:, :, :3]
-        xs = np.arange(width)
-        left = np.maximum.accumulate(np.where(solid, xs, -far), axis=1)
-        right = np.minimum.accumulate(np.where(solid, xs, far)[:, ::-1], axis=1)[:, ::-1]
-        spot = np.where(xs - left <= right - xs, left, right)  # of equally near ones the left
-        across = np.minimum((spot - xs) ** 2, far)
-        ys = np.arange(height)
-        best, row = np.full((height, width), 2 * far), np.zeros((height, width), np.int64)
-        for y in range(height):  # rows in order: only a nearer one replaces an earlier one
-            d = (ys[:, None] - y) ** 2 + across[y][None]
-            nearer = d < best
-            best, row = np.where(nearer, d, best), np.where(nearer, y, row)
-        x = np.clip(spot[row, xs[None]], 0, width - 1)
+        row, x = _nearest(solid)
         return np.where(solid[:, :, None], frame[:, :, :3], frame[row, x, :3])
 
     rows = px.withColumn("_a", (F.col("a") > 0.5).cast("double"))
     return per_frame(rows, height, width, work, cols=(*RGB, "_a"))
 
 
+def ring_class(px: DataFrame, height: int, width: int) -> DataFrame:
+    """(frame, y, x, k): the pixels that touch the subject (``a``) at a side from outside, with the class ``k`` of the nearest subject pixel.
+
+    Frames without subject, or full of it, have no ring.
+    """
+
+    def work(frame: np.ndarray) -> np.ndarray:
+        solid = frame[:, :, 1] > 0.5
+        if not solid.any():
+            return np.full((height, width, 1), -1.0)
+        row, x = _nearest(solid)
+        near = np.pad(solid, 1)
+        touch = near[:-2, 1:-1] | near[2:, 1:-1] | near[1:-1, :-2] | near[1:-1, 2:]
+        return np.where(touch & ~solid, frame[row, x, 0], -1.0)[:, :, None]
+
+    return per_frame(px, height, width, work, out=("k",), kind="long", cols=("k", "a")).where("k >= 0")
+
+
 def median_cut(px: DataFrame, colours: int, by: str = "run_id") -> DataFrame:
     """(by, k, r, g, b): boxes of colours split at the median of their longest side, most populous first; a box's mean is its entry.
 

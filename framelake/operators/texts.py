@@ -87,3 +87,73 @@ def sigma_warp(sigma: Column, top: Column, compress: float) -> Column:
 def split_latent(flat: Column, video: int) -> tuple[Column, Column]:
     """The leading video part of a flat array, and the tail."""
     return F.slice(flat, 1, video), F.slice(flat, video + 1, F.greatest(F.size(flat) - video, F.lit(0)))
+
+
+def pick(value: Column, default: Column) -> Column:
+    """The default where a knob is at its -1 mark."""
+    return F.when(value == -1, default).otherwise(value)
+
+
+def tri_state(value: Column, default: Column) -> Column:
+    """A switch of preset, on or off."""
+    return F.when(value == "preset", default).otherwise(value == "on")
+
+
+def flat_hex(background: Column, custom: Column, known: dict[str, str]) -> Column:
+    """The colour that a reference is flattened on: a known backdrop's own if that is a hex, else the custom one, or green where that is missing."""
+    own = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[background] if known else F.lit(None).cast("string")
+    return F.when(own.startswith("#"), own).otherwise(F.coalesce(custom, F.lit("#00FF00")))
+
+
+def backdrop_clause(hex_: Column, known: dict[str, str], template: str) -> Column:
+    """The clause of a known colour, or the template (with a %s for each mention) filled with the colour; '#' and capitals are put right."""
+    h = F.upper(F.trim(F.coalesce(hex_, F.lit(""))))
+    h = F.when(F.startswith(h, F.lit("#")), h).otherwise(F.concat(F.lit("#"), h))
+    out = F.format_string(template, *[h] * template.count("%s"))
+    for colour, clause in known.items():
+        out = F.when(h == colour, clause).otherwise(out)
+    return out
+
+
+def _joined(parts: list[Column], notes: Column) -> list[Column]:
+    """Prompt, length in frames and rate: a still is a clip of the least length."""
+    return [F.concat_ws(" ", *parts, F.when(F.trim(notes) != "", F.trim(notes))).alias("prompt"), F.lit(REST).alias("length"), F.lit(RATE).alias("fps")]
+
+
+def still_prompt(style: Column, subject: Column, view: Column, pose: Column, backdrop: Column, clauses: list[Column], notes: Column) -> list[Column]:
+    """prompt, length, fps of one still: style; subject, view and pose; the first two clauses; the backdrop; the other clauses; notes."""
+    who = F.concat(F.concat_ws(", ", sentence(subject), view, sentence(pose)), F.lit("."))
+    return _joined([style, who, *clauses[:2], F.concat(backdrop, F.lit(".")), *clauses[2:]], notes)
+
+
+def edit_prompt(lead: Column, instruction: Column, lock: Column, keep_palette: Column, palette_clause: Column, still: Column, backdrop: Column, finish: Column, notes: Column) -> list[Column]:
+    """prompt, length, fps of an edit: lead and instruction; what stays; the palette clause where wanted; stillness; backdrop; finish; notes."""
+    what = F.concat(lead, F.lit(": "), sentence(instruction), F.lit("."))
+    return _joined([what, lock, F.when(keep_palette, palette_clause), still, F.concat(backdrop, F.lit(".")), finish], notes)
+
+
+def clamped_duration_ms(durations: Column, frame: Column, fps: float) -> Column:
+    """Milliseconds of a frame by a list of durations in frames, whose last entry holds for later frames; null without a list."""
+    return F.when(F.size(durations) > 0, duration_ms(F.element_at(durations, F.least(frame + 1, F.size(durations))), fps))
+
+
+STAGES = ("source", "keyed", "grid", "look", "motion")  # fixed values: the debug stages, in order
+
+
+def result_payload(files: DataFrame, width: int, height: int, report: Column) -> DataFrame:
+    """(run, json) of the stage files (run, stage, frame, filename): the default layer of the final stage, its frame count, the other stages that have files, and the report."""
+    item = F.struct("frame", F.struct("filename", F.lit("").alias("subfolder"), F.lit("temp").alias("type")).alias("f"))
+    lists = files.groupBy("run_id", "stage").agg(F.transform(F.sort_array(F.collect_list(item)), lambda e: e["f"]).alias("frames"))
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage")), F.lit(0))
+    debug = F.when(rank > 0, F.struct(rank.alias("rank"), F.struct("stage", "frames").alias("s")))
+    runs = lists.groupBy("run_id").agg(F.first(F.when(F.col("stage") == "final", F.col("frames")), ignorenulls=True).alias("final"), F.sort_array(F.collect_list(debug)).alias("debug"))
+    n = F.coalesce(F.size("final"), F.lit(0))
+    final = F.coalesce("final", F.array().cast(dict(lists.dtypes)["frames"]))
+    layer = F.struct(F.lit("gen_default").alias("id"), F.lit("Generated").alias("name"), final.alias("frames"), F.lit("forge").alias("source"), F.struct(F.lit(width).alias("w"), F.lit(height).alias("h"), n.alias("frameCount")).alias("meta"))
+    body = F.struct(F.array(layer).alias("layers"), n.alias("frame_count"), F.transform("debug", lambda e: e["s"]).alias("debug_stages"), report.alias("report"))
+    return runs.select("run_id", F.to_json(body).alias("json"))
+
+
+def export_report(parts: dict[str, tuple[Column, Column]]) -> Column:
+    """The reports (wanted, text) of the exports that are switched on, in order, with bars between."""
+    return F.concat_ws(" | ", *[F.when(wanted, text) for wanted, text in parts.values()])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "easy_studio"
-TOPICS = ("colors", "mattes", "temporals", "stencils", "layouts", "editing", "rasters", "looks", "pipelines")
+TOPICS = ("colors", "mattes", "temporals", "stencils", "layouts", "editing", "guides", "rasters", "looks", "pipelines")
 
 
 def _load():
