@@ -149,3 +149,38 @@ def test_rounding_is_half_to_even(spark):
 
 def test_palette_table(spark):
     assert palette(spark).count() == 150
+
+
+def test_edits_of_layers_that_are_not_there(spark):
+    from framelake.operators import editing as E
+
+    rows = spark.createDataFrame([(1, 0, "a"), (2, 0, "b"), (2, 1, "c")], "grp int, pos int, name string")
+    got = lambda df: {(r.grp, r.pos, r.name) for r in df.collect()}
+    assert got(E.move_layer(rows, "grp", 1, 0)) == {(1, 0, "a"), (2, 1, "b"), (2, 0, "c")}
+    assert got(E.move_layer(rows, "grp", 0, 5)) == got(rows)
+    assert got(E.remove_layer(rows, "grp", 0)) == {(1, 0, "a"), (2, 0, "c")}
+    assert got(E.add_layer(rows, "grp", "n", 9)) == got(rows) | {(1, 1, "n"), (2, 2, "n")}
+    assert got(E.duplicate_layer(rows, 1)) == got(rows) | {(2, 2, "c copy")}
+    assert got(E.add_layer(rows.limit(0), "grp", "n")) == set()
+
+
+def test_saved_states_with_gaps(spark):
+    from framelake.operators import editing as E
+
+    rows = spark.createDataFrame([(1, '[{"id":"x","kind":null},{"id":"y","kind":"ref","source":"paint","opacity":0.5}]'), (2, "[]"), (3, "{"), (4, None)], "grp int, json string")
+    got = {(r.grp, r.pos, r.id, r.kind, r.source, r.opacity) for r in E.restore_layers(rows, "grp").collect()}
+    assert got >= {(1, 0, "x", "normal", "user", None), (1, 1, "y", "ref", "paint", 0.5)}
+    assert not [g for g in got if g[0] in (2, 4)]
+
+
+def test_clamped_durations_and_rings_of_empty_frames(spark):
+    from pyspark.sql import functions as F
+
+    from framelake.operators import raster as R
+    from framelake.operators import texts as X
+
+    rows = spark.createDataFrame([([1, 2], 0), ([1, 2], 5), ([], 0), (None, 0)], "d array<int>, i int")
+    assert [r[0] for r in rows.select(X.clamped_duration_ms(F.col("d"), F.col("i"), 10)).collect()] == [100, 200, None, None]
+    cells = [(0, f, y, x, 3, float(f == 1 or (f == 2 and (y, x) == (1, 1)))) for f in range(3) for y in range(3) for x in range(3)]
+    px = spark.createDataFrame(cells, "run_id int, frame int, y int, x int, k int, a double")
+    assert {(r.frame, r.y, r.x, r.k) for r in R.ring_class(px, 3, 3).collect()} == {(2, 0, 1, 3), (2, 1, 0, 3), (2, 1, 2, 3), (2, 2, 1, 3)}
