@@ -121,11 +121,20 @@ def inner_ring(px: DataFrame, flag: str, height: int, width: int, out: str = "ri
     return px.join(inner, [*FRAME, "y", "x"]).withColumn(out, F.col(flag) & ~F.col("_e")).drop("_e")
 
 
-def median3x3(px: DataFrame, cols: Sequence[str], height: int, width: int) -> DataFrame:
-    """Median of the 3 x 3 neighbourhood, edges repeated: one frame at a time, by one shuffle of the pixels."""
+def median(px: DataFrame, cols: Sequence[str], side: int, height: int, width: int) -> DataFrame:
+    """Median of a square neighbourhood, edges repeated: one frame at a time, by one shuffle of the pixels.
+
+    An even side is made odd by one more; under 3 nothing changes.
+    """
     from framelake.operators.raster import per_frame, taps
 
-    return per_frame(px, height, width, lambda frame: np.median([near for _, _, near in taps(frame, 1)], axis=0), tuple(cols), cols=tuple(cols))
+    if side < 3:
+        return px.select(*FRAME, "y", "x", *cols)
+    return per_frame(px, height, width, lambda frame: np.median([near for _, _, near in taps(frame, side // 2)], axis=0), tuple(cols), cols=tuple(cols))
+
+
+def median3x3(px: DataFrame, cols: Sequence[str], height: int, width: int) -> DataFrame:
+    return median(px, cols, 3, height, width)
 
 
 def binomial_blur(px: DataFrame, cols: Sequence[str], strength: float, height: int, width: int) -> DataFrame:

@@ -13,7 +13,7 @@ from framelake.operators import graph as G
 from framelake.operators import grid as GR
 from framelake.operators import palette as P
 from framelake.operators import temporal as T
-from framelake.plans.base import query
+from framelake.plans.base import ORACLES, query
 from framelake.plans.sqltext import PX, SERIES, pal, redmean2
 from framelake.sources.palettes import bayer, palette
 from framelake.sources.tables import px
@@ -106,7 +106,7 @@ def _(s, d):
     return out.groupBy("run_id", "k").agg(F.count(F.lit(1)).alias("n"))
 
 
-from framelake.plans.temporals import _DEDUP, _hyst  # noqa: E402
+from framelake.plans.temporals import _DEDUP, _hyst, _mid  # noqa: E402
 from framelake.streaming import stateful as ST  # noqa: E402
 
 
@@ -120,6 +120,17 @@ def _(s, d):
     return ST.drain(ST.hysteresis(ST.read_events(s, d), 100.0, 2, 3))
 
 
+@query("stream_median3", f"WITH {SERIES}, m AS (SELECT key, pos, {_mid('value', True)} AS value, lead(value) OVER w IS NOT NULL AS known FROM series WINDOW w AS (PARTITION BY key ORDER BY pos)) SELECT key, pos, round(value, 6) AS value FROM m WHERE known")
+def _(s, d):
+    return ST.drain(ST.median3(ST.read_events(s, d)))
+
+
+@query("stream_bands", ORACLES["band_hysteresis"])
+def _(s, d):
+    scaled = ST.read_events(s, d).withColumn("value", F.col("value") / 250)
+    return ST.drain(ST.band_hysteresis(scaled, [0.6, 1.2], 0.1))
+
+
 def _win(width: int, slide: int) -> str:
     k = width // slide
     return f"WITH e AS (SELECT CAST(epoch_us(ts) AS BIGINT) AS u, event_type, value FROM events), m AS (SELECT max(u) // 1000 / 1000.0 - 86400 AS wm FROM e), w AS (SELECT (u // 1000000 // {slide} - i) * {slide} AS s, event_type, value FROM e CROSS JOIN (SELECT unnest(range({k})) AS i)) SELECT CAST(s AS BIGINT) AS start_s, CAST(s + {width} AS BIGINT) AS end_s, event_type, count(*) AS n, round(sum(value), 6) AS total FROM w CROSS JOIN m WHERE s + {width} <= wm GROUP BY s, event_type"

@@ -38,6 +38,31 @@ def _(s, d):
     return R.area_resize(px(s, d), H, W, 3, 3)
 
 
+#: Kernels by the distance z of a cell in units of the stretched cell; reach and new size of each query's part.
+_KERNELS = {
+    "bilinear": ("greatest(0, 1 - z)", 1, 5),
+    "bicubic": ("CASE WHEN z < 1 THEN (1.5e0 * z - 2.5e0) * z * z + 1 WHEN z < 2 THEN -0.5e0 * (((z - 5) * z + 8) * z - 4) ELSE 0 END", 2, 3),
+    "lanczos": ("CASE WHEN z < 1e-12 THEN 1 WHEN z < 3 THEN 3 * sin(pi() * z) * sin(pi() * z / 3) / (pi() * z * pi() * z) ELSE 0 END", 3, 12),
+}
+
+
+def _resample(kind: str) -> str:
+    kernel, reach, new = _KERNELS[kind]
+    scale, wide = f"{8 / new:.17e}", max(8 / new, 1.0)
+    c = f"((t + 0.5e0) * {scale})"
+    byte = lambda e: f"least(greatest(floor(round({e}, 6) + 0.5e0), 0), 255)"
+    sums = ", ".join(f"{byte(f'sum({x} * w)')} AS {x}" for x in RGB)
+    cells = f"SELECT t, i, abs(i + 0.5e0 - {c}) / {wide:.17e} AS z FROM (SELECT unnest(range({new})) AS t), (SELECT unnest(range(8)) AS i) WHERE i >= floor({c} - {reach * wide:.17e} + 0.5e0) AND i < floor({c} + {reach * wide:.17e} + 0.5e0)"
+    return f"""{kind}_w AS (SELECT t, i, k / sum(k) OVER (PARTITION BY t) AS w FROM (SELECT t, i, CAST({kernel} AS DOUBLE) AS k FROM ({cells}))),
+{kind}_h AS (SELECT run_id, frame, y, t AS x, {sums} FROM px JOIN {kind}_w ON x = i GROUP BY run_id, frame, y, t), {kind} AS (SELECT '{kind}' AS kernel, run_id, frame, t AS y, x, {sums} FROM {kind}_h JOIN {kind}_w ON y = i GROUP BY run_id, frame, t, x)"""
+
+
+@query("resample", f"WITH {PX}, {', '.join(_resample(k) for k in _KERNELS)} " + " UNION ALL ".join(f"SELECT kernel, {K}, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in RGB) + f" FROM {k}" for k in _KERNELS))
+def _(s, d):
+    parts = [R.resample(px(s, d), k, H, W, new, new).withColumn("kernel", F.lit(k)) for k, (_, _, new) in _KERNELS.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("pad_canvas", f"WITH {PX}, f AS (SELECT DISTINCT run_id, frame FROM px), c AS (SELECT run_id, frame, y, x FROM f, (SELECT unnest(range(12)) AS y), (SELECT unnest(range(12)) AS x)) SELECT c.run_id, c.frame, c.y, c.x, coalesce(r, 1) AS r, coalesce(g, 2) AS g, coalesce(b, 3) AS b FROM c LEFT JOIN px ON px.run_id = c.run_id AND px.frame = c.frame AND px.y = c.y - 2 AND px.x = c.x - 2")
 def _(s, d):
     return R.pad_to(px(s, d), H, W, 12, (1, 2, 3))
@@ -84,17 +109,37 @@ def _(s, d):
     return lists.select("stage", F.size("l").alias("n"), F.array_join(F.transform("l", lambda e: e["event_id"].cast("string")), ",").alias("ids"))
 
 
-@query("gaussian_feather")
+def _taps(src: str, name: str, axis: str, place: str, weights: str, cols: list[str]) -> str:
+    """CTE ``name``: sums of ``cols`` of ``src`` along an axis, weighted by g at the steps d of ``weights``; ``place`` folds p + d into the frame."""
+    other = "x" if axis == "y" else "y"
+    at = place.format(e=f"(p.{axis} + n.d)")
+    sums = ", ".join(f"sum(q.{c} * n.g) AS {c}" for c in cols)
+    return f"{name} AS (SELECT p.run_id, p.frame, p.y, p.x, {sums} FROM px p CROSS JOIN {weights} n JOIN {src} q ON q.run_id = p.run_id AND q.frame = p.frame AND q.{other} = p.{other} AND q.{axis} = {at} GROUP BY p.run_id, p.frame, p.y, p.x)"
+
+
+def _gauss(reach: int, sigma: float) -> str:
+    return f"gw AS (SELECT d, g / sum(g) OVER () AS g FROM (SELECT d, exp(-d * d / {2 * sigma * sigma:.17e}) AS g FROM (SELECT unnest(range({-reach}, {reach + 1})) AS d)))"
+
+
+_MIRROR = "(CASE WHEN {e} < 0 THEN -1 - {e} WHEN {e} > 7 THEN 15 - {e} ELSE {e} END)"
+_CLAMP = "least(greatest({e}, 0), 7)"
+_REFLECT = "(CASE WHEN {e} < 0 THEN -{e} WHEN {e} > 7 THEN 14 - {e} ELSE {e} END)"
+
+
+@query("gaussian_feather", f"WITH {PX}, {_gauss(3, 0.8)}, {_taps('px', 'v', 'y', _MIRROR, 'gw', ['a'])}, {_taps('v', 'z', 'x', _MIRROR, 'gw', ['a'])} SELECT {K}, r, g, b, round(least(greatest(z.a, 0), 1), 6) AS a FROM px JOIN z USING ({K})")
 def _(s, d):
     return R.feather(px(s, d, alpha=True), 0.1, H, W)
 
 
-@query("bilateral_flatten")
+_ROUND9 = "o AS (SELECT dy, dx FROM (SELECT unnest(range(-4, 5)) AS dy), (SELECT unnest(range(-4, 5)) AS dx) WHERE dy * dy + dx * dx <= 16)"
+
+
+@query("bilateral_flatten", f"WITH {PX}, {_ROUND9}, n AS (SELECT p.run_id, p.frame, p.y, p.x, q.r, q.g, q.b, exp(-(dy * dy + dx * dx) / 162e0 - power(abs(q.r - p.r) + abs(q.g - p.g) + abs(q.b - p.b), 2) / 1800e0) AS w FROM px p CROSS JOIN o JOIN px q ON q.run_id = p.run_id AND q.frame = p.frame AND q.y = {_REFLECT.format(e='(p.y + dy)')} AND q.x = {_REFLECT.format(e='(p.x + dx)')}) SELECT {K}, " + ", ".join(f"round_even(sum({c} * w) / sum(w), 0) AS {c}" for c in RGB) + f" FROM n GROUP BY {K}")
 def _(s, d):
     return R.bilateral(px(s, d), 1.0, 1, H, W)
 
 
-@query("unsharp")
+@query("unsharp", f"WITH {PX}, {_gauss(6, 2.0)}, {_taps('px', 'v', 'y', _CLAMP, 'gw', RGB)}, {_taps('v', 'z', 'x', _CLAMP, 'gw', RGB)} SELECT {K}, " + ", ".join(f"round(CASE WHEN abs(px.{c} - z.{c}) > 2 THEN {_clip(f'px.{c} + 0.9e0 * (px.{c} - z.{c})')} ELSE CAST(px.{c} AS DOUBLE) END, 6) AS {c}" for c in RGB) + f" FROM px JOIN z USING ({K})")
 def _(s, d):
     return R.unsharp(px(s, d), 0.6, H, W)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators import graph as G
 from framelake.operators import palette as P
+from framelake.operators import raster as R
 from framelake.operators import stencil as S
 from framelake.plans.base import query
 from framelake.plans.sqltext import PX, hcl, lab_cte, pal, redmean2
@@ -88,6 +89,11 @@ def _(s, d):
     return S.median3x3(px(s, d), RGB, H, W)
 
 
+@query("median_side4", f"WITH {PX}, {_off(5)}, {_near('px', 'n', 'r, g, b')} SELECT {K}, median(q_r) AS r, median(q_g) AS g, median(q_b) AS b FROM n GROUP BY {K}")
+def _(s, d):
+    return S.median(px(s, d), RGB, 4, H, W)
+
+
 @query("binomial_blur", f"WITH {PX}, {_off(3)}, {_near('px', 'n', 'r')} SELECT {K}, round(0.6 * any_value(r) + 0.4 * sum(q_r * (2 - abs(dy)) * (2 - abs(dx)) / CAST(16 AS DOUBLE)), 6) AS r FROM n GROUP BY {K}")
 def _(s, d):
     return S.binomial_blur(px(s, d), ["r"], 0.4, H, W)
@@ -160,6 +166,19 @@ def _(s, d):
     return G.fill_holes(px(s, d, alpha=True).withColumn("f", F.col("a") > 0.5), "f", H, W).select(*KEY, "f")
 
 
+def _steps() -> str:
+    """CTEs s0 to s4: a mask grown by two crosses and shrunk by two."""
+    out = ["s0 AS (SELECT run_id, frame, y, x, r > 150 AS f FROM px0)", _CROSS]
+    for i, hit in enumerate(["bool_or(q_f)"] * 2 + ["sum(CASE WHEN q_f THEN 1 ELSE 0 END) = 5"] * 2):
+        out += [_near(f"s{i}", f"n{i}", "f", "none"), f"s{i + 1} AS (SELECT {K}, {hit} AS f FROM n{i} GROUP BY {K})"]
+    return ", ".join(out)
+
+
+@query("close_holes", f"WITH RECURSIVE px0 AS (WITH {PX} SELECT * FROM px), {_steps()}, px AS (SELECT * FROM s4), {_comp(False, 'NOT f')}, t AS (SELECT run_id, frame, label, bool_or({_EDGE}) AS e FROM cc GROUP BY ALL) SELECT {K}, f OR NOT coalesce(e, false) AS f FROM px LEFT JOIN (cc JOIN t USING (run_id, frame, label)) USING ({K})")
+def _(s, d):
+    return R.close_holes(px(s, d).withColumn("f", F.col("r") > 150), "f", H, W)
+
+
 @query("auto_subject", f"""WITH RECURSIVE px0 AS (WITH {PX} SELECT * FROM px), rg AS (SELECT * FROM px0 WHERE y < 1 UNION ALL SELECT * FROM px0 WHERE y >= 7 UNION ALL SELECT * FROM px0 WHERE x < 1 UNION ALL SELECT * FROM px0 WHERE x >= 7), ky AS (SELECT run_id, frame, median(r) AS kr, median(g) AS kg, median(b) AS kb FROM rg GROUP BY 1, 2),
 px AS (SELECT px0.*, {redmean2(('r', 'g', 'b'), ('kr', 'kg', 'kb'))} < 8100 AS mt FROM px0 JOIN ky USING (run_id, frame)), {_comp(False, 'mt')}, t AS (SELECT run_id, frame, label, bool_or({_EDGE}) AS bg FROM cc GROUP BY ALL), z AS (SELECT {K}, coalesce(bg, false) AS bg FROM px LEFT JOIN (cc JOIN t USING (run_id, frame, label)) USING ({K})),
 sh AS (SELECT run_id, frame, avg(CASE WHEN bg THEN 0 ELSE 1 END) AS sh FROM z GROUP BY 1, 2) SELECT {K}, CASE WHEN sh < 0.02 THEN true ELSE NOT bg END AS subject FROM z JOIN sh USING (run_id, frame)""")

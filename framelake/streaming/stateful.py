@@ -10,6 +10,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +39,12 @@ def read_events(spark: SparkSession, sf_dir: str, files_a_batch: int = 64) -> Da
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's checkpoint folder, or under the temporary one where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "framelake-streams")
+    """A new folder under the cluster's checkpoint folder; where none is set, under the temporary one in local mode (one machine), an error elsewhere."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = os.path.join(tempfile.gettempdir(), "framelake-streams")
     return f"{top}/stream-{uuid.uuid4().hex}"
 
 
@@ -95,6 +100,45 @@ def hysteresis(stream: DataFrame, threshold: float, commit: int, hold: int) -> D
     return stream.select("user_id", "ts", "event_id", "value").groupBy("user_id").applyInPandasWithState(step, "key long, pos long, value double", "now double, cand double, run int, stale int, pos long", "append", GroupStateTimeout.NoTimeout)
 
 
+def median3(stream: DataFrame) -> DataFrame:
+    """(key, pos, value): the median of each event's value and its two neighbours', one event late.
+
+    The newest event of a user waits in the state until the next one comes; the first counts twice.
+    """
+
+    def step(key, batches, state):
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        v = rows["value"].to_numpy(float)
+        if state.exists:
+            before, now, pos = state.get
+        else:
+            before, now, pos, v = v[0], v[0], 0, v[1:]
+        x = np.concatenate([[before, now], v])
+        state.update((float(x[-2]), float(x[-1]), pos + len(v)))
+        yield pd.DataFrame({"key": key[0], "pos": pos + np.arange(len(v)), "value": np.median([x[:-2], x[1:-1], x[2:]], axis=0)})
+
+    return stream.select("user_id", "ts", "event_id", "value").groupBy("user_id").applyInPandasWithState(step, "key long, pos long, value double", "before double, now double, pos long", "append", GroupStateTimeout.NoTimeout)
+
+
+def band_hysteresis(stream: DataFrame, edges: list[float], margin: float) -> DataFrame:
+    """(key, pos, band): a value within ``margin`` of an edge keeps the band of the event before it."""
+    bounds = np.array(edges)
+
+    def step(key, batches, state):
+        band, pos = state.get if state.exists else (-1, 0)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        v = rows["value"].to_numpy(float)
+        own = np.searchsorted(bounds, v, "right")
+        sure = (np.abs(v[:, None] - bounds) >= margin).all(1)
+        sure[0] |= band < 0
+        last = np.maximum.accumulate(np.where(sure, np.arange(len(v)), -1))
+        out = np.where(last < 0, band, own[last])
+        state.update((int(out[-1]), pos + len(v)))
+        yield pd.DataFrame({"key": key[0], "pos": pos + np.arange(len(v)), "band": out})
+
+    return stream.select("user_id", "ts", "event_id", "value").groupBy("user_id").applyInPandasWithState(step, "key long, pos long, band long", "band long, pos long", "append", GroupStateTimeout.NoTimeout)
+
+
 def _windows(stream: DataFrame, window, delay: str) -> DataFrame:
     agg = stream.withWatermark("ts", delay).groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return agg.select(F.unix_seconds("w.start").alias("start_s"), F.unix_seconds("w.end").alias("end_s"), "event_type", "n", "total")

@@ -19,7 +19,7 @@ def plain(df):
 
 
 #: Not expressible in SQL; tests/test_rasters.py holds them against plain loops.
-PLAIN = {"gaussian_feather", "bilateral_flatten", "unsharp", "floyd_steinberg", "median_cut", "shared_palette", "movelock", "subject_rescue"}
+PLAIN = {"floyd_steinberg", "median_cut", "shared_palette", "movelock", "subject_rescue"}
 PLAIN |= {"quantise_look", "cel_look", "match_look", "key_look"}  # held by tests/test_composites.py
 
 
