@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framelake.functions import color as C
+from framelake.operators.lineage import settle
 from framelake.operators.palette import with_nearest
 
 RGB = ("r", "g", "b")
@@ -139,10 +142,15 @@ def edge_peaks(profile: DataFrame, by: list[str], share: float = 0.88) -> DataFr
     return peak.select(*by, (F.col("pos") + 1 + F.least(F.greatest(shift, C.d(-0.5)), C.d(0.5))).alias("at"), v.alias("energy"))
 
 
-def lattice_recall(peaks: DataFrame, by: list[str], pitch: float, tolerance: float = 1.2, phases: int = 160) -> DataFrame:
-    """(by, recall, phase): the best phase of a lattice by the share of edge energy within tolerance; the first of equal ones."""
+def lattice_recall(peaks: DataFrame, by: list[str], pitch: float | Column, tolerance: float = 1.2, phases: int = 160) -> DataFrame:
+    """(by, recall, phase): the best phase of a lattice by the share of edge energy within tolerance; the first of equal ones.
+
+    A pitch may be a column that is the same for all peaks of a group.
+    """
+    step = pitch / phases
+    pitch, step = (x if isinstance(x, Column) else F.lit(x) for x in (pitch, step))
     o = F.explode(F.sequence(F.lit(0), F.lit(phases - 1))).alias("i")
-    rows = peaks.select(*by, "at", "energy", o).withColumn("o", F.col("i") * F.lit(pitch / phases))
+    rows = peaks.select("*", o).withColumn("o", F.col("i") * step)
     k = F.rint((F.col("at") - F.col("o")) / pitch)
     on = F.abs(F.col("at") - (F.col("o") + k * pitch)) <= tolerance
     got = rows.groupBy(*by, "i", "o").agg((F.sum(F.when(on, F.col("energy")).otherwise(0.0)) / F.sum("energy")).alias("r"))
@@ -159,6 +167,121 @@ def within_cell_std(px: DataFrame, pitch: float, ox: float = 0.0, oy: float = 0.
     return part.where("w > 0").groupBy(*FRAME).agg(F.sqrt(F.sum(spread) / F.sum("w")).alias("std"))
 
 
+def _cell_spread(v: np.ndarray, w: np.ndarray, fixed: tuple[float, float]):
+    """f(pitch, phase) along the second axis: the pooled deviation of v in lattice cells, the first axis' lattice being fixed.
+
+    Rows of one cell row are summed once; a candidate then only cuts these sums into runs.
+    """
+    row = np.floor((np.arange(v.shape[0]) + 0.5 - fixed[1]) / fixed[0])
+    cut = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    wv, ws = np.add.reduceat(w * v, cut, 0), np.add.reduceat(w, cut, 0)
+    whole, weight, place = float((w * v * v).sum()), float(w.sum()), np.arange(v.shape[1]) + 0.5
+
+    def of(pitch: float, phase: float) -> float:
+        col = np.floor((place - phase) / pitch)
+        at = np.flatnonzero(np.append(True, col[1:] != col[:-1]))
+        a, b = np.add.reduceat(wv, at, 1), np.add.reduceat(ws, at, 1)
+        inside = whole - float(np.divide(a * a, b, out=np.zeros_like(a), where=b > 0).sum())
+        return round(float(np.sqrt(max(inside, 0.0) / weight)), 9) if weight else 0.0
+
+    return of
+
+
+def _least(of, pitches, phases) -> tuple[float, float, float]:
+    """(deviation, pitch, phase): the least, the first of equal ones."""
+    return min(((of(p, o), p, o) for p in pitches for o in phases), key=lambda x: x[0])
+
+
+def _steps(lo: float, hi: float, step: float) -> list[float]:
+    return [lo + i * step for i in range(int((hi - lo) / step + 1e-6) + 1)]
+
+
+def fit_lattice(px: DataFrame, found: DataFrame, height: int, width: int, pitch_reach: float = 0.06, pitch_step: float = 0.0025, phase_reach: float = 1.3, phase_step: float = 0.0625, least_cells: int = 4, least_pitch: float = 2.5, weight: Column | None = None) -> DataFrame:
+    """(frame, pitch_x, phase_x, pitch_y, phase_y, std): lattices refined to the least deviation of luminance inside their cells.
+
+    ``found`` (frame, pitch_x, phase_x, pitch_y, phase_y) has one row a frame. First x moves with y
+    fixed, then y with the new x. A pitch within 0.05 of the frame's side over a whole number (``least_cells`` at
+    least) becomes exactly that if a phase near 0, or else near the fitted one, has at most 1.15 times the deviation.
+    One frame at a time.
+    """
+    names = ["pitch_x", "phase_x", "pitch_y", "phase_y"]
+    lum = C.luminance([F.col(c) for c in RGB])
+    src = px.select(*[F.col(c).cast("long").alias(c) for c in (*FRAME, "y", "x")], lum.alias("v"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("w"))
+
+    def refine(of, p0: float, o0: float) -> tuple[float, float]:
+        _, p, o = _least(of, _steps(max(least_pitch, p0 - pitch_reach), p0 + pitch_reach, pitch_step), _steps(o0 - phase_reach, o0 + phase_reach, phase_step))
+        return round(p, 4), round(o, 4)
+
+    def snap(of, p: float, o: float, side: int) -> tuple[float, float]:
+        n = round(side / p)
+        if n < least_cells or abs(side / n - p) > 0.05:
+            return p, o
+        near, zero = (_least(of, [side / n], _steps(c - 0.25, c + 0.25, 0.0625)) for c in (o, 0.0))
+        most = 1.15 * of(p, o)
+        for std, pitch, phase in ([zero] if zero[0] <= 1.15 * near[0] else []) + [near]:
+            if std <= most:
+                return round(pitch, 4), round(phase, 4)
+        return p, o
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if left.num_rows and right.num_rows:
+            v, w = np.zeros((height, width)), np.zeros((height, width))
+            at = left["y"].to_numpy(), left["x"].to_numpy()
+            v[at], w[at] = left["v"].to_numpy(), left["w"].to_numpy()
+            x, xo, y, yo = (float(right[c][0].as_py()) for c in names)
+            x, xo = refine(_cell_spread(v, w, (y, yo)), x, xo)
+            y, yo = refine(_cell_spread(v.T, w.T, (x, xo)), y, yo)
+            x, xo = snap(_cell_spread(v, w, (y, yo)), x, xo, width)
+            y, yo = snap(_cell_spread(v.T, w.T, (x, xo)), y, yo, height)
+            rows = [(key[0].as_py(), key[1].as_py(), x, xo, y, yo, _cell_spread(v, w, (y, yo))(x, xo))]
+        cols = list(zip(*rows, strict=True)) or [()] * 7
+        kinds = [pa.int64()] * 2 + [pa.float64()] * 5
+        return pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], [*FRAME, *names, "std"])
+
+    start = found.select(*[F.col(c).cast("long").alias(c) for c in FRAME], *[F.col(c).cast("double").alias(c) for c in names])
+    return src.groupBy(*FRAME).cogroup(start.groupBy(*FRAME)).applyInArrow(run, ", ".join([*(f"{c} long" for c in FRAME), *(f"{c} double" for c in (*names, "std"))]))
+
+
+def find_lattice(px: DataFrame, hint: float, height: int, width: int, least_peaks: int = 16) -> DataFrame:
+    """(frame, pitch_x, phase_x, pitch_y, phase_y, recall, whole_recall, excess) of frames with a proven fractional lattice near a whole pitch.
+
+    Pitches around the hint, twice and half of it are scanned on both axes' edge peaks; the choice is
+    refined (``fit_lattice``), and accepted before and after that by ``lattice_holds``.
+    """
+    by = list(FRAME)
+    around = sorted({round(p, 3) for base in (hint, 2 * hint, hint / 2) for p in _steps(max(2.5, base - 1.25), min(16.0, base + 1.25), 0.025)})
+    turned = px.withColumnsRenamed({"x": "_y", "y": "x"}).withColumnRenamed("_y", "y")
+    found = None
+    for axis, rows in (("x", px), ("y", turned)):
+        peaks = edge_peaks(edge_profile(rows), by)
+        many = peaks.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("energy").alias("e")).where((F.col("n") >= least_peaks) & (F.col("e") > 0)).select(*by)
+        peaks = settle(peaks.join(many, by))
+        best = choose_pitch(pitch_scan(peaks, by, around), by)
+        own = lattice_recall(peaks.join(best.select(*by, "pitch"), by), by, F.col("pitch"), phases=240)
+        whole = lattice_recall(peaks, by, float(hint)).select(*by, F.col("recall").alias(f"whole_{axis}"))
+        held = peaks.groupBy(*by).agg(F.collect_list(F.struct("at", "energy")).alias(f"peaks_{axis}"))
+        side = best.select(*by, F.col("pitch").alias(f"pitch_{axis}")).join(own.select(*by, F.col("recall").alias(f"recall_{axis}"), F.col("phase").alias(f"phase_{axis}")), by).join(whole, by).join(held, by)
+        found = side if found is None else found.join(side, by)
+    found = settle(found.where(lattice_holds()))
+    fit = settle(fit_lattice(px, found, height, width))
+    rows = fit.join(found.select(*by, "whole_x", "whole_y", "peaks_x", "peaks_y"), by)
+    for axis in "xy":
+        again = rows.select(*by, F.col(f"pitch_{axis}").alias("pitch"), F.explode(f"peaks_{axis}").alias("p")).select(*by, "pitch", "p.*")
+        rows = rows.join(lattice_recall(again, by, F.col("pitch")).select(*by, F.col("recall").alias(f"recall_{axis}")), by)
+    excess = F.least(*[F.col(f"recall_{a}") - F.least(F.lit(1.0), 2.4 / F.col(f"pitch_{a}")) for a in "xy"])
+    return rows.where(lattice_holds()).select(*by, "pitch_x", "phase_x", "pitch_y", "phase_y", ((F.col("recall_x") + F.col("recall_y")) / 2).alias("recall"), ((F.col("whole_x") + F.col("whole_y")) / 2).alias("whole_recall"), excess.alias("excess"))
+
+
+def lattice_holds(tolerance: float = 1.2) -> Column:
+    """Whether both axes' recall (recall_x, recall_y) is 0.6 or more, 0.45 over chance, and 1.35 times that of the whole pitch (whole_x, whole_y), and the pitches agree within 4 %."""
+    ok = F.abs(F.col("pitch_x") - F.col("pitch_y")) <= 0.04 * F.least("pitch_x", "pitch_y")
+    for a in "xy":
+        r, p = F.col(f"recall_{a}"), F.col(f"pitch_{a}")
+        ok = ok & (r >= 0.6) & (r - F.least(F.lit(1.0), 2 * tolerance / p) >= 0.45) & (r >= 1.35 * F.greatest(F.col(f"whole_{a}"), F.lit(1e-6)))
+    return ok
+
+
 def pitch_scan(peaks: DataFrame, by: list[str], pitches: list[float], tolerance: float = 1.2, phases: int = 160) -> DataFrame:
     """(by, pitch, recall, excess): for each pitch the best phase's share of edge energy, and how far it is over chance."""
     lits = F.array(*[F.lit(float(p)) for p in pitches])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framelake.functions import color as C
+from framelake.operators.lineage import settle
 
 RGB = ("r", "g", "b")
 MOST = 4096
@@ -164,18 +165,52 @@ def shade_ramp(palette: DataFrame, bands: int = 4, ambient: float = 0.35, hue_sh
     return out
 
 
-def kmeans(px: DataFrame, seeds: DataFrame, iterations: int = 3) -> DataFrame:
-    """(k, r, g, b): Lloyd's steps from given seeds in RGB; a cluster without pixels keeps its centre.
+def spread_seeds(counts: DataFrame, most: int) -> DataFrame:
+    """(k, r, g, b): k-means++ seeds from colour counts (r, g, b, n), at most one a colour.
 
-    Works on colour counts, not pixels: each step reads one row a colour; only the centres go round.
+    Each seed is drawn with a chance in proportion to n times the squared distance to the nearest seed
+    before it: the colour with the least -ln(u) over that weight, where u is a hash of the step and the colour.
+    So a step is one aggregate, and the draw is the same for any partitioning.
     """
-    counts = colour_counts(px)
-    centres = seeds.select("k", *[F.col(c).cast("double").alias(c) for c in RGB])
-    for _ in range(iterations):
-        near = with_nearest(counts, centres)
-        mean = near.groupBy("k").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"m{c}") for c in RGB])
-        centres = centres.join(mean, "k", "left").select("k", *[F.coalesce(f"m{c}", c).alias(c) for c in RGB])
-    return centres
+    own, seeds = [F.col(c) for c in RGB], []
+    for step in range(most):
+        u = (F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(step), *RGB)), 1, 8), 16, 10).cast("double") + 1) / C.d(1 << 32)
+        far = [C.euclid2(own, [C.d(v) for v in x]) for x in seeds]
+        gap = F.least(*far) if len(far) > 1 else far[0] if far else C.d(1)
+        best = counts.where(gap > 0).agg(F.min(F.struct((-F.ln(u) / (F.col("n") * gap)).alias("o"), *RGB)).alias("b")).first()[0]
+        if best is None:
+            break
+        seeds.append(tuple(float(best[c]) for c in RGB))
+    return counts.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(seeds)], "k int, r double, g double, b double")
+
+
+def kmeans(px: DataFrame, seeds: DataFrame | int, iterations: int = 3, space: str = "rgb", tolerance: float = 0.0) -> DataFrame:
+    """(k, r, g, b): Lloyd's steps in RGB or CIELAB from given seeds, or from so many k-means++ seeds; a cluster without pixels keeps its centre.
+
+    Works on colour counts, written once: each step is one aggregate of one row a colour, and only the
+    centres (a palette) go round. Stops when no coordinate moves by more than the tolerance.
+    """
+    counts = settle(colour_counts(px))
+    points = counts
+    if space == "lab":
+        points = settle(counts.withColumns(dict(zip(("_l", "_a", "_b"), C.lab([F.col(c) for c in RGB]), strict=True))).select(F.col("_l").alias("r"), F.col("_a").alias("g"), F.col("_b").alias("b"), "n"))
+        seeds = spread_seeds(points, seeds) if isinstance(seeds, int) else in_lab(seeds)
+    elif isinstance(seeds, int):
+        seeds = spread_seeds(counts, seeds)
+    spark = px.sparkSession
+    held = {x["k"]: [float(x[c]) for c in RGB] for x in seeds.select("k", *RGB).limit(MOST + 1).collect()}
+    table = lambda: spark.createDataFrame([(k, *v) for k, v in sorted(held.items())], "k int, r double, g double, b double")
+    for _ in range(iterations if held else 0):
+        near = with_nearest(points, table())
+        means = near.groupBy("k").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in RGB]).collect()  # one row a centre
+        moved = {x["k"]: [x[c] for c in RGB] for x in means}
+        still = all(abs(a - b) <= tolerance for k, v in moved.items() for a, b in zip(v, held[k], strict=True))
+        held |= moved
+        if still:
+            break
+    if space != "lab":
+        return table()
+    return table().select("k", *[v.alias(c) for c, v in zip(RGB, C.rgb_from_lab([F.col(c) for c in RGB]), strict=True)])
 
 
 def concat(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -253,3 +253,18 @@ def _kmeans_sql(steps: int) -> str:
 @query("kmeans_palette", _kmeans_sql(3))
 def _(s, d):
     return P.kmeans(px(s, d), palette(s, "GAMEBOY").drop("palette"), 3)
+
+
+def _seeds_sql(most: int) -> str:
+    ctes = [PX, "n AS (SELECT r, g, b, count(*) AS n FROM px GROUP BY ALL)"]
+    for i in range(most):
+        gaps = [f"(power(n.r - s{j}.r, 2) + power(n.g - s{j}.g, 2) + power(n.b - s{j}.b, 2))" for j in range(i)]
+        gap = f"least({', '.join(gaps)})" if gaps else "CAST(1 AS DOUBLE)"
+        u = f"(CAST('0x' || substr(md5(concat_ws('-', {i}, n.r, n.g, n.b)), 1, 8) AS BIGINT) + 1) / 4294967296e0"
+        ctes.append(f"s{i} AS (SELECT {i} AS k, n.r, n.g, n.b FROM n{''.join(f', s{j}' for j in range(i))} WHERE {gap} > 0 ORDER BY -ln({u}) / (n.n * {gap}), n.r, n.g, n.b LIMIT 1)")
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT k, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b FROM s{i}" for i in range(most))
+
+
+@query("kmeans_seeds", _seeds_sql(5))
+def _(s, d):
+    return P.spread_seeds(P.colour_counts(px(s, d)), 5)

@@ -91,6 +91,22 @@ def _(s, d):
     return G.choose_pitch(scores, ["key"])
 
 
+def _axis(name: str, move: str, start: str, pitch: str, phase: str, fixed_pitch: str, fixed_phase: str, reach: int) -> str:
+    """CTE ``name``: the start's columns and p, o of the least deviation, the moving axis over the candidates."""
+    still = "y" if move == "x" else "x"
+    near = f"s{name} AS (SELECT st.*, i, j, greatest(25e-1, {pitch} - 6e-2) + i * 3e-2 AS p, {phase} - 125e-2 + j * 25e-2 AS o FROM {start} st CROSS JOIN (SELECT unnest(range(5)) AS i) CROSS JOIN (SELECT unnest(range({reach})) AS j))"
+    cells = f"c{name} AS (SELECT s.run_id, s.frame, i, j, count(*) AS w, sum(v) AS wv, sum(v * v) AS wvv FROM s{name} s JOIN l USING (run_id, frame) WHERE p <= {pitch} + 6e-2 + 1e-9 GROUP BY s.run_id, s.frame, i, j, floor((l.{move} + 0.5e0 - o) / p), floor((l.{still} + 0.5e0 - {fixed_phase}) / {fixed_pitch}))"
+    std = f"d{name} AS (SELECT run_id, frame, i, j, round(sqrt(greatest(sum(wvv) - sum(wv * wv / w), 0) / sum(w)), 9) AS std FROM c{name} GROUP BY ALL)"
+    return f"{near}, {cells}, {std}, {name} AS (SELECT * EXCLUDE (i, j, p, o), round(p, 4) AS {move}p, round(o, 4) AS {move}o FROM s{name} JOIN d{name} USING (run_id, frame, i, j) QUALIFY row_number() OVER (PARTITION BY run_id, frame ORDER BY std, i, j) = 1)"
+
+
+@query("lattice_fit", f"WITH {PX}, l AS (SELECT {K}, {LUM} AS v FROM px), st AS (SELECT DISTINCT run_id, frame, 26e-1 + frame % 3 * 2e-1 AS p0, 0e0 AS o0 FROM px), {_axis('fx', 'x', 'st', 'p0', 'o0', 'p0', 'o0', 11)}, fx2 AS (SELECT * EXCLUDE (std) FROM fx), {_axis('fy', 'y', 'fx2', 'p0', 'o0', 'xp', 'xo', 11)} SELECT run_id, frame, xp AS pitch_x, xo AS phase_x, yp AS pitch_y, yo AS phase_y, round(std, 6) AS std FROM fy")
+def _(s, d):
+    p0 = 2.6 + F.col("frame") % 3 * 0.2
+    start = px(s, d).select("run_id", "frame").distinct().select("run_id", "frame", p0.alias("pitch_x"), F.lit(0.0).alias("phase_x"), p0.alias("pitch_y"), F.lit(0.0).alias("phase_y"))
+    return G.fit_lattice(px(s, d), start, H, W, pitch_step=0.03, phase_reach=1.25, phase_step=0.25)
+
+
 @query("palette_concat", f"WITH {pal('GAMEBOY', 'a')}, {pal('PICO-8', 'b')} SELECT k, pr AS r, pg AS g, pb AS b FROM a UNION ALL SELECT k + 4, pr, pg, pb FROM b")
 def _(s, d):
     return P.concat(palette(s, "GAMEBOY").drop("palette"), palette(s, "PICO-8").drop("palette"))
