@@ -122,12 +122,16 @@ def autocorrelation(profile: DataFrame, by: list[str], lags: int, top: int = 3)
     return peaks.withColumn("rank", rank).where(F.col("rank") <= top).select(*by, "lag", "corr", "rank")
 
 
-def edge_profile(px: DataFrame) -> DataFrame:
-    """(run, frame, pos, v): summed luminance steps between neighbouring columns."""
+def edge_profile(px: DataFrame, weight: Column | None = None) -> DataFrame:
+    """(run, frame, pos, v): summed luminance steps between neighbouring columns; with a weight, their mean by the two pixels' mean weight."""
     w = Window.partitionBy(*FRAME, "y").orderBy("x")
     lum = C.luminance([F.col(c) for c in RGB])
-    step = px.withColumn("v", lum).withColumn("d", F.abs(F.lead("v").over(w) - F.col("v"))).where(F.col("d").isNotNull())
-    return step.groupBy(*FRAME, F.col("x").alias("pos")).agg(F.sum("d").alias("v"))
+    rows = px.withColumn("v", lum).withColumn("d", F.abs(F.lead("v").over(w) - F.col("v")))
+    total = F.sum("d")
+    if weight is not None:
+        rows = rows.withColumn("_w", weight).withColumn("_w", (F.col("_w") + F.lead("_w").over(w)) / 2)
+        total = F.sum(F.col("d") * F.col("_w")) / F.greatest(F.sum("_w"), F.lit(1e-6))
+    return rows.where(F.col("d").isNotNull()).groupBy(*FRAME, F.col("x").alias("pos")).agg(total.alias("v"))
 
 
 def edge_peaks(profile: DataFrame, by: list[str], share: float = 0.88) -> DataFrame:
@@ -243,7 +247,7 @@ def fit_lattice(px: DataFrame, found: DataFrame, height: int, width: int, pitch_
     return src.groupBy(*FRAME).cogroup(start.groupBy(*FRAME)).applyInArrow(run, ", ".join([*(f"{c} long" for c in FRAME), *(f"{c} double" for c in (*names, "std"))]))
 
 
-def find_lattice(px: DataFrame, hint: float, height: int, width: int, least_peaks: int = 16) -> DataFrame:
+def find_lattice(px: DataFrame, hint: float, height: int, width: int, least_peaks: int = 16, weight: Column | None = None) -> DataFrame:
     """(frame, pitch_x, phase_x, pitch_y, phase_y, recall, whole_recall, excess) of frames with a proven fractional lattice near a whole pitch.
 
     Pitches around the hint, twice and half of it are scanned on both axes' edge peaks; the choice is
@@ -254,7 +258,7 @@ def find_lattice(px: DataFrame, hint: float, height: int, width: int, least_peak
     turned = px.withColumnsRenamed({"x": "_y", "y": "x"}).withColumnRenamed("_y", "y")
     found = None
     for axis, rows in (("x", px), ("y", turned)):
-        peaks = edge_peaks(edge_profile(rows), by)
+        peaks = edge_peaks(edge_profile(rows, weight), by)
         many = peaks.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("energy").alias("e")).where((F.col("n") >= least_peaks) & (F.col("e") > 0)).select(*by)
         peaks = settle(peaks.join(many, by))
         best = choose_pitch(pitch_scan(peaks, by, around), by)
@@ -264,7 +268,7 @@ def find_lattice(px: DataFrame, hint: float, height: int, width: int, least_peak
         side = best.select(*by, F.col("pitch").alias(f"pitch_{axis}")).join(own.select(*by, F.col("recall").alias(f"recall_{axis}"), F.col("phase").alias(f"phase_{axis}")), by).join(whole, by).join(held, by)
         found = side if found is None else found.join(side, by)
     found = settle(found.where(lattice_holds()))
-    fit = settle(fit_lattice(px, found, height, width))
+    fit = settle(fit_lattice(px, found, height, width, weight=weight))
     rows = fit.join(found.select(*by, "whole_x", "whole_y", "peaks_x", "peaks_y"), by)
     for axis in "xy":
         again = rows.select(*by, F.col(f"pitch_{axis}").alias("pitch"), F.explode(f"peaks_{axis}").alias("p")).select(*by, "pitch", "p.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.operators import grid as G
 from framelake.operators import palette as P
@@ -35,6 +36,17 @@ def test_find_lattice(spark, pitch, phase):
     assert len(got) == 1 and abs(got[0].pitch_x - pitch) < 0.05 and got[0].recall > 0.9
 
 
+def test_weights_hide_the_backdrop(spark):
+    rng, pitch = np.random.default_rng(5), 200 / 23
+    px = art(spark, pitch, 0.0, 200, 3).toPandas()
+    out = px.y >= 120
+    px.loc[out, ["r", "g", "b"]] = rng.integers(0, 256, (int(out.sum()), 3)).astype("int32")
+    px = spark.createDataFrame(px.assign(a=(~out).astype(float)))
+    got = G.find_lattice(px, 9.0, 200, 200, least_peaks=8, weight=F.col("a")).collect()
+    assert len(got) == 1 and abs(got[0].pitch_x - pitch) < 0.05 and abs(got[0].pitch_y - pitch) < 0.05
+    assert G.find_lattice(px, 9.0, 200, 200, least_peaks=8).count() == 0
+
+
 def test_no_lattice_in_noise(spark):
     rng = np.random.default_rng(1)
     rows = [(1, 0, y, x, *map(int, rng.integers(0, 256, 3))) for y in range(96) for x in range(96)]
