@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from framelake.functions import color as C
 from framelake.operators.stencil import FRAME, RGB
@@ -120,13 +121,24 @@ def frame_quorum(px: DataFrame, palette: DataFrame) -> DataFrame:
 
 
 def band_boundaries(px: DataFrame, shares: list[float], by: str = "run_id") -> DataFrame:
-    """(by, band, bound): luminance quantiles at the cumulative shares of all bands but the last."""
+    """(by, band, bound): luminance quantiles at the cumulative shares of all bands but the last.
+
+    Between two neighbours in order a quantile is lo * (1 - part) + hi * part with one rounding of the sum (a fused multiply-add, as
+    in DuckDB): where the two are next to each other as doubles, the last bit decides on which side of it pixels lie.
+    """
     total, at, cum = sum(shares), 0.0, []
     for s in shares[:-1]:
         at += s
         cum.append(at / total)
     lum = C.luminance([F.col(c) for c in RGB])
-    q = px.withColumn("_l", lum).groupBy(by).agg(F.percentile("_l", F.array(*[F.lit(c) for c in cum])).alias("q"))
+    counts = px.select(by, lum.alias("_l")).where("_l IS NOT NULL").groupBy(by, "_l").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(by)
+    ranked = counts.select(by, "_l", F.sum("_n").over(w.orderBy("_l").rowsBetween(Window.unboundedPreceding, 0)).alias("_to"), (F.sum("_n").over(w) - 1).alias("_last"))
+    place = [F.col("_last") * F.lit(c) for c in cum]
+    at = lambda k: F.min(F.when(F.col("_to") > k, F.col("_l")))
+    ends = [F.struct(at(F.floor(p)).alias("lo"), at(F.ceil(p)).alias("hi"), F.max(p - F.floor(p)).alias("part")).alias(f"q{i}") for i, p in enumerate(place)]
+    fma = lambda q: F.java_method(F.lit("java.lang.Math"), F.lit("fma"), q["lo"], 1 - q["part"], q["hi"] * q["part"]).cast("double")
+    q = ranked.groupBy(by).agg(*ends).select(by, F.array(*[fma(F.col(f"q{i}")) for i in range(len(cum))]).alias("q"))
     return q.select(by, F.posexplode("q").alias("band", "bound"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from framelake.functions import color as C
 from framelake.operators import frames as fr
 from framelake.operators import graph as G
+from framelake.operators import layout as L
 from framelake.operators import palette as P
 from framelake.operators import stencil as S
 from framelake.operators import temporal as T
@@ -184,3 +185,17 @@ def test_clamped_durations_and_rings_of_empty_frames(spark):
     cells = [(0, f, y, x, 3, float(f == 1 or (f == 2 and (y, x) == (1, 1)))) for f in range(3) for y in range(3) for x in range(3)]
     px = spark.createDataFrame(cells, "run_id int, frame int, y int, x int, k int, a double")
     assert {(r.frame, r.y, r.x, r.k) for r in R.ring_class(px, 3, 3).collect()} == {(2, 0, 1, 3), (2, 1, 0, 3), (2, 1, 2, 3), (2, 2, 1, 3)}
+
+
+@pytest.mark.parametrize("share, below, pair, above", [(0.7, 6, [(33, 3, 0), (0, 0, 102)], 2), (0.2, 0, [(66, 6, 51), (0, 0, 255)], 3)])
+def test_bounds_between_neighbouring_doubles(spark, duck, share, below, pair, above):
+    # the pair has one luminance, which comes out as two doubles next to each other; the bound lies between them
+    colours = [(0, 0, 0)] * below + pair + [(255, 255, 255)] * above
+    df = spark.createDataFrame([(1, 0, 0, x, *c) for x, c in enumerate(colours)], "run_id int, frame int, y int, x int, r int, g int, b int")
+    shares = [share * 10, 10 - share * 10]
+    values = [0.299 * r + 0.587 * g + 0.114 * b for r, g, b in colours]
+    want = duck.execute(f"SELECT quantile_cont(v, CAST({share} AS DOUBLE)) FROM (SELECT unnest($1) AS v)", [values]).fetchone()[0]
+    bounds = L.band_boundaries(df, shares)
+    assert bounds.first().bound == want
+    assert [r.band for r in L.band_remap(df, bounds).orderBy("x").collect()] == [int(want < v) for v in values]
+    assert L.band_boundaries(df.where("r < 0"), shares).count() == 0
