@@ -287,7 +287,8 @@ def loop_trim(px: DataFrame, share: float, most: float, run: str = "run_id") ->
 def dedup_frames(px: DataFrame, threshold: float, by: str = "run_id", matte: bool = True) -> DataFrame:
     """(by, frame, duration): frames that differ by more than the threshold from the last kept one, and how many frames each stands for.
 
-    The difference is that of ``frame_pair_error``. Each frame is compared with one that depends on
+    The difference is that of ``frame_pair_error``, by one division of whole numbers where channels and mattes are whole: so one of
+    exactly the threshold is not more, whatever the order of pixels. Each frame is compared with one that depends on
     all before it, so a clip is one group: its frames are read in order, two at a time.
     """
     cols = [*RGB, *(["a"] if matte else [])]
@@ -302,11 +303,11 @@ def dedup_frames(px: DataFrame, threshold: float, by: str = "run_id", matte: boo
         for i in range(1, len(frames)):
             p, q = frames[i], frames[kept[-1]]
             if matte:
-                step = np.abs(p[:, :3] * p[:, 3:] - q[:, :3] * q[:, 3:]).sum(1) / 765.0 + np.abs(p[:, 3] - q[:, 3])
+                step = np.abs(p[:, :3] * p[:, 3:] - q[:, :3] * q[:, 3:]).sum(1) + 765.0 * np.abs(p[:, 3] - q[:, 3])
                 seen = (p[:, 3] > 0.5) | (q[:, 3] > 0.5)
-                error = step[seen].mean() / 2 if seen.any() else 0.0
+                error = step[seen].sum() / (1530.0 * seen.sum()) if seen.any() else 0.0
             else:
-                error = np.abs(p - q).mean() / 255.0
+                error = np.abs(p - q).sum() / (255.0 * p.size)
             if error > threshold:
                 kept.append(i)
         stands = np.diff([*kept, len(frames)])

@@ -199,3 +199,24 @@ def test_bounds_between_neighbouring_doubles(spark, duck, share, below, pair, ab
     assert bounds.first().bound == want
     assert [r.band for r in L.band_remap(df, bounds).orderBy("x").collect()] == [int(want < v) for v in values]
     assert L.band_boundaries(df.where("r < 0"), shares).count() == 0
+
+
+@pytest.mark.parametrize("matte, size, threshold, total", [(True, 55, 0.42, 35343), (False, 50, 0.48, 18360)])
+def test_a_difference_of_exactly_the_threshold_is_not_more(spark, matte, size, threshold, total):
+    # the steps of a clip's pixels sum to exactly the threshold's share of the most there can be: 1530 a pixel, or 765 without mattes
+    rng, rows = np.random.default_rng(4), []
+    for run in range(20):
+        steps = rng.integers(0, 765, size)
+        if matte:
+            steps[rng.permutation(size)[: size // 2]] += 765
+        while off := total - int(steps.sum()):
+            i = rng.integers(size)
+            low = steps[i] // 765 * 765
+            steps[i] = np.clip(steps[i] + off, low, low + 764)
+        for x, step in enumerate(steps.tolist()):
+            appears, left = divmod(step, 765)
+            rgb = [min(255, max(0, left - 255 * c)) for c in range(3)]
+            rows += [(run, 0, 0, x, 0, 0, 0, float(1 - appears)), (run, 1, 0, x, *rgb, 1.0)]
+    df = spark.createDataFrame(rows, "run_id int, frame int, y int, x int, r int, g int, b int, a double")
+    assert [r.duration for r in T.dedup_frames(df, threshold, matte=matte).orderBy("run_id").collect()] == [2] * 20
+    assert T.dedup_frames(df, threshold - 0.0001, matte=matte).count() == 40
