@@ -159,3 +159,12 @@ def test_columns(odd, none):
 
 def test_parity_is_verified_on_every_row(spark, sf):
     assert sp.op10(spark, sf).where("parity IS NULL OR NOT parity").count() == 0
+
+
+def test_marks_taken_away_as_by_the_library():
+    raw = Path(sp.MODEL).read_bytes()
+    c, whole = sp.Codec(raw), sp.build(sp.parse(raw))
+    assert c.plain
+    texts = ["", " ", "  two", "a\nb", "▁", "▁ x▁ ", "日本 語", "\U0001f9ff é", "end  "]
+    ids = [*c.encode(texts), *np.random.default_rng(3).integers(0, len(c.spec.pieces), (50, 40)).tolist()]
+    assert c.decode(ids) == whole.decode_batch(ids, skip_special_tokens=False)
